@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from stratalog.llm import url_filter
 from stratalog.llm.byte_bpe import op1_byte_bpe
 from stratalog.llm.pack_docs import op2_packing
+from stratalog.llm.secrets import op5_secrets
+from stratalog.llm.toxicity import op9_toxicity
+from stratalog.llm.url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op5_secrets, op8_url_filter, op9_toxicity)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
