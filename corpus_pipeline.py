@@ -1,14 +1,53 @@
-"""Corpus pipeline: documents through the stages in order, each written as Parquet and reread by the next."""
+"""Corpus pipeline: documents through the stages in order, each written as Parquet and reread by the next.
+
+Toxicity drops the documents that the classifier rejects, exact dedup keeps the largest doc_id of equal texts, near-dedup
+the smallest doc_id of each component of near copies, the secret scan replaces secrets by a mark, packing makes the
+training sequences. The first four return the columns of documents."""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratalog.llm import exact_dedup, near_dedup, pack_docs, secrets, toxicity
 from stratalog.llm.common import shared_dir, table
 
-STAGES: list = []
+#: Near copies share four fifths of their five-word shingles at least.
+PERCENT = 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(docs, percent=PERCENT)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_docs.pack(docs, public_tokenizers.path(pack_docs.VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 
 #: SQL can't express a trained classifier or a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
