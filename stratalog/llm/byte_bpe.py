@@ -7,6 +7,7 @@ tokens; null ids decode to an empty text; other columns pass through as they are
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,24 +23,32 @@ from stratalog.llm.bpe_cache import PartCache, PieceEncoder, byte_characters
 from stratalog.llm.common import slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Entries of the memos: a task has two Python workers here, one that encodes and one that decodes.
+PARTS, PIECES = 300_000, 400_000
 _ODD_SPACE = regex.compile(r" \s|\s ")
 
 
+@functools.cache
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id, from the vocabulary file alone; special tokens stand for their names."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    bytes_of = {c: b for b, c in enumerate(byte_characters())}
+    special = {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+    tokens = {i: bytes(map(bytes_of.__getitem__, t)) for t, i in file["model"]["vocab"].items() if i not in special} | special
+    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+
+
 class ByteBpe:
     """One tokenizer; special tokens in a text are ordinary text."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        special = self.tokenizer.get_added_tokens_decoder()
-        bytes_of = {c: b for b, c in enumerate(byte_characters())}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.table = [b""] * size
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.table[i] = token.encode() if i in special else bytes(bytes_of[c] for c in token)
+        self.table = byte_table(path)
         self.sizes = np.array([len(t) for t in self.table], np.int64)
-        pieces = PieceEncoder(self.tokenizer, public_tokenizers.PATTERN)
-        self.pieces, self.parts = pieces, PartCache(lambda p: pieces.part(" " + p))
+        pieces = PieceEncoder(self.tokenizer, public_tokenizers.PATTERN, entries=PIECES)
+        self.pieces, self.parts = pieces, PartCache(lambda p: pieces.part(" " + p), entries=PARTS)
 
     def ids(self, text: str) -> np.ndarray:
         """A single space between two non-space characters always starts a match of the pattern, so the text can be cut
@@ -110,11 +119,11 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     keep = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        pieces = byte_table(path).__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [b"" if x.as_py() is None else bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in batch.column(ids)]
+                texts = [b"" if x.as_py() is None else b"".join(map(pieces, x.values.to_numpy(zero_copy_only=False).tolist())) for x in batch.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
