@@ -21,7 +21,7 @@ class StoreConfig:
     level_multiplier: int = 4
     level0_file_limit: int = 4
     compression: str = "zstd"
-    group_commit: int = 64
+    group_commit: int = 1
     inline_compaction: bool = True
     bloom_keys: int = 1_000_000
     verbose: bool = False
