@@ -225,12 +225,14 @@ class Store:
 
     # Runs
 
-    def _write_run(self, rows: DataFrame, level: int, number: int) -> Run | None:
-        """A sorted run on disk; not part of the store until a manifest names it."""
+    def _write_run(self, rows: DataFrame, level: int, number: int, most: int | None = None) -> Run | None:
+        """A sorted run on disk; not part of the store until a manifest names it. most: rows at most, where that is known
+        (each file's key filter is sized for them)."""
+        keys = max(1000, min(self.config.bloom_keys, self.config.bloom_keys if most is None else most))
         name = f"L{level}_{number}-{uuid.uuid4().hex}"
         at = f"{self.path}/runs/{name}"
         writer = rows.select(*(F.col(f.name).cast(f.dataType) for f in VERSIONS)).sortWithinPartitions("key", F.desc("seq")).write
-        writer.option("compression", self.config.compression).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(self.config.bloom_keys)).parquet(at)
+        writer.option("compression", self.config.compression).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).parquet(at)
         edges = self.spark.read.schema(VERSIONS).parquet(at).agg(F.count("*"), F.hex(F.min("key")), F.hex(F.max("key")), F.min("seq"), F.max("seq")).first()
         if not edges[0]:
             self.files.delete(f"runs/{name}")
@@ -248,7 +250,7 @@ class Store:
                 return
             logs = self.files.names("wal")
             rows = self.spark.createDataFrame(self._recent.rows(), VERSIONS).coalesce(1)
-            run = self._write_run(rows, 0, self._manifest.next_run)
+            run = self._write_run(rows, 0, self._manifest.next_run, self._recent.entries)
             self._publish(runs=(*self._manifest.runs, run), next_run=run.number + 1, last_seq=self._seq, flushed_seq=self._seq)
             self._recent = Recent()
             self._counts["flushes"] += 1
@@ -294,7 +296,7 @@ class Store:
         size = sum(r.bytes for r in runs)
         parts = max(1, size // (128 << 20))
         merged = merged.repartitionByRange(int(parts), "key") if parts > 1 else merged.coalesce(1)
-        run = self._write_run(merged, level + 1, self._manifest.next_run)
+        run = self._write_run(merged, level + 1, self._manifest.next_run, sum(r.rows for r in runs))
         gone = {r.name for r in runs}
         kept = tuple(r for r in self._manifest.runs if r.name not in gone)
         past = self._manifest.last_seq if floor is None else floor
