@@ -93,11 +93,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, offsets: bool = True) -> DataFrame:
-    """df's columns (or those in keep) with token_ids and, if asked for, token_bytes and token_chars: where each token starts."""
-    keep = df.columns if keep is None else keep
+    """df's columns (or those in keep) with token_ids and, if asked for, token_bytes and token_chars: where each token starts.
+    Input columns of these names are replaced."""
     added = ["token_ids", *(["token_bytes", "token_chars"] if offsets else [])]
-    if set(added) & set(keep):
-        raise ValueError(f"columns {added} are made here; rename the input's")
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
