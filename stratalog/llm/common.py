@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _staged: dict[str, list[str]] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end, rather than when the driver next collects its garbage."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -37,17 +50,31 @@ def stage(df: DataFrame) -> DataFrame:
     lost executor costs no recomputation. release() removes the files when the results have been used."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stratalog-stage-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    with cleaning(spark):
+        df.write.parquet(at)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes what stage() has written for these, once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        _staged[spark.sparkContext.applicationId].remove(df._staged_at)
+        _delete(spark, df._staged_at)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what stage() has written in this application; DataFrames built on it can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
     for at in _staged.pop(spark.sparkContext.applicationId, []):
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, at)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

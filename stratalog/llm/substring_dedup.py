@@ -3,12 +3,13 @@
 A window of WINDOW words is removed where the same words start in a document with a smaller key. Automata of all documents
 against all documents would take time in the square of the corpus, so passages are located first, by hashes:
 
+0. Whole copies of a text with a smaller key (two 64-bit hashes of the text agree) lose all words, if they hold a window.
 1. Anchors: in each window the GRAM-word run with the smallest hash, so equal windows have equal anchors and about one
-   word in five starts one. Anchors that occur under one key only are settled: their windows are unique.
+   word in five starts one. Anchors that occur in one text only are settled: their windows are unique.
 2. Windows at the other anchors are counted by hash, with their smallest key. Where that is smaller than the
-   document's own, the window goes to the reference document of that key.
-3. Reference passages (windows whose smallest key is their own document's) are dealt into shards of about SHARD words. Each
-   shard's suffix automaton is sent to as many tasks as its passages' copies need, and these stream through it: the
+   document's own, the window goes to the reference document of that key. Windows in a row with one owner are one passage.
+3. Reference passages (of windows whose smallest key is their own document's) are dealt into shards of about SHARD words.
+   Each shard's suffix automaton is sent to as many tasks as its passages' copies need, and these stream through it: the
    matching statistics confirm, word by word, which spans of the threshold's length or more go.
 
 Every step but the last confirms nothing and loses nothing. Hot windows and anchors combine on the map side; hot shards are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import grams, slices, small, stage, table, words
+from stratalog.llm.common import grams, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 5
@@ -48,50 +49,59 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: i
     return starts, place, runs
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], window: int, placed: bool) -> Iterator[pa.RecordBatch]:
-    """a, k (and, if placed, t and the place in the text) of each anchor."""
+def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """a: each anchor of a text, once."""
     for whole in batches:
-        for batch, texts in slices(whole):
+        for _, texts in slices(whole):
             hashes, first, _, _, _ = words(texts)
             _, place, runs = anchors(hashes, first, window)
             place = place[np.diff(place, prepend=-1) != 0]
-            row = np.searchsorted(first, place, side="right") - 1
-            out = [pa.array(runs[place].view(np.int64)), batch.column("k").take(pa.array(row))]
-            if placed:
-                out += [batch.column("t").take(pa.array(row)), pa.array((place - first[row]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "k", "t", "place"][: len(out)])
+            row = np.searchsorted(first, place, side="right").astype(np.uint64)
+            _, once = np.unique(mix(runs[place] ^ row * np.uint64(0x9FB21C651E98DF25)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs[place[once]].view(np.int64))], names=["a"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """w (hash), k, t, start of the windows whose anchor is at one of the row's places."""
+    """a, k, t, start, ws: each place of an anchor, and the hashes of the windows, one after another from start, that it stands for."""
     for whole in batches:
         for batch, texts in slices(whole):
             hashes, first, _, _, _ = words(texts)
-            starts, place, _ = anchors(hashes, first, window)
-            places = batch.column("places")
-            ends = np.diff(places.offsets.to_numpy())
-            hit = np.zeros(len(hashes) + 1, bool)
-            hit[places.flatten().to_numpy() + np.repeat(first[:-1], ends)] = True
-            starts = starts[hit[place]]
-            row = np.searchsorted(first, starts, side="right") - 1
+            starts, place, runs = anchors(hashes, first, window)
+            at = np.flatnonzero(np.diff(place, prepend=-1))
+            row = np.searchsorted(first, place[at], side="right") - 1
+            ws = pa.array(grams(hashes, window, seed=3)[starts].view(np.int64))
+            ends = pa.array(np.append(at, len(starts)).astype(np.int32))
+            rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams(hashes, window, seed=3)[starts].view(np.int64)), batch.column("k").take(pa.array(row)), batch.column("t").take(pa.array(row)), pa.array((starts - first[row]).astype(np.int32))],
-                names=["w", "k", "t", "start"],
+                [pa.array(runs[place[at]].view(np.int64)), batch.column("k").take(rows), batch.column("t").take(rows), pa.array((starts[at] - first[row]).astype(np.int32)), pa.ListArray.from_arrays(ends, ws)],
+                names=["a", "k", "t", "start", "ws"],
             )
 
 
-def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """owner, k, t, start, words: the text of each run of windows with one owner."""
+def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """k, t, runs: found windows put together where one follows another with the same owner; start and stop in words."""
+    for batch in batches:
+        out, ends = [], [0]
+        for found in batch.column("found").to_pylist():
+            last = None
+            for start, owner in sorted((x["start"], x["owner"]) for x in found):
+                if last and last["owner"] == owner and start <= last["stop"] - window + 1:
+                    last["stop"] = start + window
+                else:
+                    out.append(last := {"start": start, "stop": start + window, "owner": owner})
+            ends.append(len(out))
+        kind = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("owner", batch.schema.field("k").type)])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, kind))], names=["k", "t", "runs"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """owner, k, t, start, words: the text of each run."""
     for whole in batches:
         for batch, texts in slices(whole):
             rows: list[tuple] = []
-            for k, t, found, text in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "found")), texts, strict=True):
-                found, said = sorted((x["start"], x["owner"]) for x in found), text.split()
-                at = 0
-                for i in range(1, len(found) + 1):
-                    if i == len(found) or found[i] != (found[i - 1][0] + 1, found[at][1]):
-                        rows.append((found[at][1], k, t, found[at][0], b" ".join(said[found[at][0] : found[i - 1][0] + window])))
-                        at = i
+            for k, t, runs, text in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "runs")), texts, strict=True):
+                said = text.split()
+                rows += [(x["owner"], k, t, x["start"], b" ".join(said[x["start"] : x["stop"]])) for x in runs]
             kinds = [batch.schema.field("k").type, batch.schema.field("k").type, pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["owner", "k", "t", "start", "words"])
 
@@ -128,15 +138,17 @@ def _confirmed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate((kind, pa.int64(), pa.int32(), pa.int32()))], names=["k", "t", "start", "stop"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The row's words but those in its spans, and how many there are."""
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The row's words but those in its spans, and how many there are; a copy of a whole text keeps none, if it holds a window."""
     for whole in batches:
         for batch, texts in slices(whole):
             kept, n, gone = [], [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
+            for text, copy, spans in zip(texts, batch.column("copy").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 said = text.split()
                 n.append(len(said))
-                if spans:
+                if copy and len(said) >= window:
+                    said = []
+                elif spans:
                     at, left = 0, []
                     for x in sorted((s["start"], s["stop"]) for s in spans):
                         left += said[at : x[0]]
@@ -150,22 +162,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_numbers: int = BROADCAST_NUMBERS, shard: int = SHARD, stream: int = STREAM) -> DataFrame:
     """k (the key), n_words, n_removed, kept (the kept words joined by a space, UTF-8) of each row."""
     kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    keyed = docs.where("k is not null and text is not null")
-    seen = keyed.select("k", "text").mapInArrow(lambda x: _anchored(x, window, False), f"a long, k {kind}")
-    again = stage(seen.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("a"))
-    places = keyed.mapInArrow(lambda x: _anchored(x, window, True), f"a long, k {kind}, t long, place int")
-    places = places.join(small(again, again.count(), broadcast_numbers), "a").groupBy("k", "t").agg(F.collect_set("place").alias("places"))
-
-    def beside(side: DataFrame, numbers: str) -> DataFrame:
-        """docs with the columns that side (k, t, ...) has for them."""
-        side = stage(side)
-        return keyed.join(small(side, side.agg(F.coalesce(F.sum(F.expr(numbers)) + 8 * F.count("*"), F.lit(0))).first()[0], broadcast_numbers), ["k", "t"])
-
-    held = stage(beside(places, "size(places)").mapInArrow(lambda x: _windows(x, window), f"w long, k {kind}, t long, start int"))
-    owners = held.groupBy("w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("w", "owner")
-    found = held.join(owners, "w").groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
-    passages = stage(beside(found, "2 * size(found)").mapInArrow(lambda x: _passages(x, window), f"owner {kind}, k {kind}, t long, start int, words binary"))
+    docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("text"))
+    copies = stage(docs.where("k is not null and text is not null").groupBy("t", "t2").agg(F.min("k").alias("one"), F.max("k").alias("last")).where("one < last").select("t", "t2", "one"))
+    docs = docs.join(small(copies, 3 * copies.count(), broadcast_numbers), ["t", "t2"], "left").withColumn("copy", F.coalesce(F.col("k") > F.col("one"), F.lit(False)))
+    keyed = docs.where("k is not null and text is not null and not copy").select("k", "t", "text")
+
+    again = stage(keyed.select("text").mapInArrow(lambda x: _anchors(x, window), "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    held = stage(
+        keyed.mapInArrow(lambda x: _windows(x, window), f"a long, k {kind}, t long, start int, ws array<long>")
+        .join(small(again, again.count(), broadcast_numbers), "a").select("k", "t", "start", "ws")
+    )
+    unstage(again)
+    each = held.select("k", "t", F.col("start").alias("from"), F.posexplode("ws").alias("at", "w")).select("w", "k", "t", (F.col("from") + F.col("at")).alias("start"))
+    owners = each.groupBy("w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("w", "owner")
+    found = each.join(owners, "w").groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
+    runs = stage(found.mapInArrow(lambda x: _runs(x, window), f"k {kind}, t long, runs array<struct<start:int,stop:int,owner:{kind}>>"))
+    unstage(held)
+
+    def beside(side: DataFrame, numbers: str, how: str, rows: DataFrame) -> DataFrame:
+        """rows with the column that side (k, t, ...) has for them."""
+        return rows.join(small(side, side.agg(F.coalesce(F.sum(F.expr(numbers)) + 2 * F.count("*"), F.lit(0))).first()[0], broadcast_numbers), ["k", "t"], how)
+
+    passages = stage(beside(runs, "3 * size(runs)", "inner", keyed).mapInArrow(_passages, f"owner {kind}, k {kind}, t long, start int, words binary"))
+    unstage(runs)
     passages = passages.withColumn("reference", F.col("owner") == F.col("k"))
     size = F.octet_length("words") / 6
     shards = max(1, int((passages.where("reference").agg(F.sum(size)).first()[0] or 0) // shard) + 1)
@@ -177,9 +196,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.desc("reference"))
     spans = dealt.mapInArrow(lambda x: _confirmed(x, window), f"k {kind}, t long, start int, stop int")
     spans = stage(spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    numbers = spans.agg(F.coalesce(F.sum(F.expr("2 * size(spans) + 8")), F.lit(0))).first()[0]
-    out = docs.join(small(spans, numbers, broadcast_numbers), ["k", "t"], "left").select("k", "text", "spans")
-    return out.mapInArrow(_cut, f"k {kind}, n_words long, n_removed long, kept binary")
+    return beside(spans, "2 * size(spans)", "left", docs).select("k", "copy", "text", "spans").mapInArrow(lambda x: _cut(x, window), f"k {kind}, n_words long, n_removed long, kept binary")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
