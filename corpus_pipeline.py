@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import exact_dedup, near_dedup, pack_docs, secrets, toxicity
-from stratalog.llm.common import shared_dir, table
+from stratalog.llm.common import release, shared_dir, staged, table
 
 #: Near copies share four fifths of their five-word shingles at least.
 PERCENT = 80
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's intermediate tables go when its output is written; the outputs stay."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/stratalog-pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
+        mark = staged(spark)
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{i}")
+        release(spark, mark)
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
     return docs

@@ -71,10 +71,17 @@ def unstage(*frames: DataFrame) -> None:
         _delete(spark, df._staged_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what stage() has written in this application; DataFrames built on it can't be read afterwards."""
-    for at in _staged.pop(spark.sparkContext.applicationId, []):
+def staged(spark: SparkSession) -> int:
+    """How many tables stage() has written in this application so far; a mark for release()."""
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what stage() has written after that mark; DataFrames built on it can't be read afterwards."""
+    known = _staged.get(spark.sparkContext.applicationId, [])
+    for at in known[since:]:
         _delete(spark, at)
+    del known[since:]
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

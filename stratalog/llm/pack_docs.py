@@ -30,6 +30,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: The tokenizer's own pattern, on normalised text without white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = np.array([1], "<u4").tobytes()
+#: Entries of the memos of a worker, which other operators' tables share memory with.
+PARTS, PIECES = 300_000, 150_000
 
 
 class WordBpe:
@@ -38,9 +40,9 @@ class WordBpe:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = PieceEncoder(self.tokenizer, _PATTERN, lambda s: unicodedata.normalize("NFC", s).lower())
+        self.pieces = PieceEncoder(self.tokenizer, _PATTERN, lambda s: unicodedata.normalize("NFC", s).lower(), PIECES)
         part = self.pieces.part
-        self.parts = PartCache(lambda w: part(w.decode()))
+        self.parts = PartCache(lambda w: part(w.decode()), PARTS)
 
     def pack(self, text: bytes) -> bytes:
         return self.parts.pack(text.split())

@@ -12,7 +12,8 @@ against all documents would take time in the square of the corpus, so passages a
    Each shard's suffix automaton is sent to as many tasks as its passages' copies need, and these stream through it: the
    matching statistics confirm, word by word, which spans of the threshold's length or more go.
 
-Every step but the last confirms nothing and loses nothing. Hot windows and anchors combine on the map side; hot shards are
+Every step but the last confirms nothing and loses nothing. Hot windows and anchors combine on the map side, and the join
+that brings owners back has exchanges of its own on both sides, so that adaptive execution splits a hot window; hot shards are
 dealt over several tasks, each with its own automaton of bounded size.
 
 Null and empty texts have no words. Documents without a key keep all words and are no reference. Rows equal in key and
@@ -174,10 +175,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     )
     unstage(again)
     each = held.select("k", "t", F.col("start").alias("from"), F.posexplode("ws").alias("at", "w")).select("w", "k", "t", (F.col("from") + F.col("at")).alias("start"))
-    owners = each.groupBy("w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("w", "owner")
-    found = each.join(owners, "w").groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
+    owners = stage(each.groupBy("w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("w", "owner"))
+    found = each.join(owners.hint("merge"), "w").groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
     runs = stage(found.mapInArrow(lambda x: _runs(x, window), f"k {kind}, t long, runs array<struct<start:int,stop:int,owner:{kind}>>"))
-    unstage(held)
+    unstage(held, owners)
 
     def beside(side: DataFrame, numbers: str, how: str, rows: DataFrame) -> DataFrame:
         """rows with the column that side (k, t, ...) has for them."""

@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning in numpy.
 
 Training reads confirmed toxic texts and unlabelled ones, both bounded samples in hash order (TOXIC, UNLABELLED rows), as
-sets of hashed features: words and word beginnings. Features are kept where they are much commoner in toxic texts; a
+sets of hashed features: words, word beginnings, and whether several words share one. Features are kept where they are much commoner in toxic texts; a
 linear model is fitted by gradient steps on the risk estimator prior * R+(P) + max(0, R-(U) - prior * R-(P)), which
 corrects for the toxic share (the class prior) inside the unlabelled texts. Scoring is a map over Arrow batches on whole
 texts: no shuffle; only the model (at most KEPT weights) is sent out.
@@ -11,6 +11,8 @@ toxic examples every score is 0. Repeated labels of a document count as toxic if
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,29 +23,40 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import slices, table
 
 #: The training samples' bounds, in rows.
-TOXIC, UNLABELLED = 4_000, 16_000
+TOXIC, UNLABELLED = 4_000, 8_000
 #: Buckets of the hashed features, and how many of them the model may use.
 BUCKETS, KEPT = 1 << 20, 4_096
-STEM = 5
+STEMS = (4, 5, 6, 7)
+#: So many distinct words with a feature are features of their own.
+TIMES = (2, 4)
 CUT = 0.3
 
+_SHUFFLES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _STRIP = b".,;:!?\"'()[]"
 
 
-def features(text: bytes) -> set[bytes]:
-    """Distinct words (ASCII letters lower-cased, outer punctuation dropped) and the beginnings of longer ones."""
-    found = {w.strip(_STRIP) for w in set(text.lower().split())}
-    found |= {b"^" + w[:STEM] for w in found if len(w) > STEM}
-    found.discard(b"")
-    return found
+def word_features(word: bytes) -> list[bytes]:
+    """A word of a text (ASCII letters in lower case), without outer punctuation, and its beginnings of STEMS bytes."""
+    w = word.strip(_STRIP)
+    return [w, *(b"^" + w[:n] for n in STEMS if n < len(w))] if w else []
 
 
 def bucket(feature: bytes) -> int:
-    import zlib
-
     return zlib.crc32(feature) & (BUCKETS - 1)
 
 
+def more(b: int, n: int) -> int:
+    """The bucket for n or more distinct words of a text with a feature in bucket b."""
+    return (b * 2654435761 + n * 40503) & (BUCKETS - 1)
+
+
+def features(text: bytes) -> np.ndarray:
+    """Sorted buckets of a text."""
+    found = [bucket(f) for w in set(text.lower().split()) for f in word_features(w)]
+    once, times = np.unique(np.array(found, np.int64), return_counts=True)
+    return np.unique(np.concatenate([once, *(more(once[times >= n], n) for n in TIMES)])).astype(np.int32)
+
+
 class NonNegativePU:
     """Logistic model on feature presence, fitted on the non-negative positive-unlabelled risk."""
 
@@ -52,28 +65,37 @@ class NonNegativePU:
 
     @staticmethod
     def _apart(rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Without near copies of an earlier row (one of four pairs of minhashes in common), so that what a copied text
-        alone says doesn't look like evidence."""
+        """Without near copies of an earlier row, so that what a copied text alone says doesn't look like evidence. Two rows
+        are near copies if by one of six hashes their twelve smallest features are the same."""
         out, seen = [], set()
         for r in rows:
-            x = r.astype(np.uint64)[None, :] * np.array([[0x9E3779B1], [0x85EBCA6B], [0xC2B2AE35], [0x27D4EB2F], [0x165667B1], [0xD3A2646D], [0xFD7046C5], [0xB55A4F09]], np.uint64) & np.uint64(0xFFFFFFFF)
-            least = ((x * np.uint64(0x2C1B3C6D) & np.uint64(0xFFFFFFFF)) ^ (x >> np.uint64(15))).min(axis=1, initial=np.uint64(1 << 33)).tolist()
-            marks = {(i, least[i], least[i + 4]) for i in range(4)}
+            h = r.astype(np.uint64)[None, :] * _SHUFFLES[:, None]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            if len(r) > 12:
+                h = np.partition(h, 11, axis=1)[:, :12]
+            h.sort(axis=1)
+            marks = {(i, x.tobytes()) for i, x in enumerate(h)}
             if not len(r) or not marks & seen:
                 out.append(r)
             seen |= marks
         return out
 
+    @staticmethod
+    def _counts(rows: list[np.ndarray]) -> np.ndarray:
+        """How many rows have each bucket; a few rows at a time, so the driver's memory stays small."""
+        out = np.zeros(BUCKETS, np.int32)
+        for at in range(0, len(rows), 256):
+            out += np.bincount(np.concatenate(rows[at : at + 256]), minlength=BUCKETS).astype(np.int32)
+        return out
+
     def _choose(self, p: list[np.ndarray], u: list[np.ndarray], kept: int) -> np.ndarray:
         """Buckets that are commoner in toxic texts by far, and mostly in them: by Bayes' rule a feature's toxic share is
         prior * (its share in P) / (its share in U)."""
         p, u = self._apart(p), self._apart(u)
-        shares = []
-        for rows in (p, u):
-            shares.append((np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), minlength=BUCKETS) + 0.5) / (len(rows) + 1))
-        a, b = shares
+        a, b = ((self._counts(rows) + 0.5) / (len(rows) + 1) for rows in (p, u))
         score = (a - b) / np.sqrt(a * (1 - a) / len(p) + b * (1 - b) / max(1, len(u)) + 1e-12)
-        able = np.flatnonzero((score > 3) & (a * (len(p) + 1) >= 4) & (self.prior * a > 0.4 * b))
+        able = np.flatnonzero((score > 3) & (a * (len(p) + 1) >= 4) & (self.prior * a > 0.5 * b))
         return np.sort(able[np.argsort(-score[able], kind="stable")[:kept]])
 
     def fit(self, p: list[np.ndarray], u: list[np.ndarray], kept: int = KEPT) -> NonNegativePU:
@@ -103,14 +125,14 @@ class NonNegativePU:
         return self
 
     def _matrix(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        flat = np.concatenate(rows)
-        place = np.searchsorted(self.chosen, flat)
-        hit = place < len(self.chosen)
-        hit[hit] = self.chosen[place[hit]] == flat[hit]
-        return at[hit], place[hit], len(rows)
+        """(row, place among the chosen) of each chosen bucket that a row has, and the number of rows."""
+        at, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, r in enumerate(rows):
+            place = np.searchsorted(self.chosen, r)
+            place = place[self.chosen[np.minimum(place, len(self.chosen) - 1)] == r] if len(self.chosen) else place[:0]
+            at.append(np.full(len(place), i))
+            places.append(place)
+        return np.concatenate(at), np.concatenate(places), len(rows)
 
     @staticmethod
     def _logits(x: tuple, w: np.ndarray, b: float) -> np.ndarray:
@@ -128,7 +150,7 @@ def _sample(docs: DataFrame, key: str, text: str) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for _, texts in slices(whole, text):
-                rows = [np.unique(np.fromiter(map(bucket, features(t)), np.int32)).tobytes() for t in texts]
+                rows = [features(t).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["buckets"])
 
     return [np.frombuffer(r[0], np.int32) for r in docs.select(text).mapInArrow(run, "buckets binary").collect()]
@@ -161,20 +183,19 @@ def score(docs: DataFrame, model: NonNegativePU | None, text: str = "text", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = sent.value
-        known: dict[bytes, int] = {}  # bucket of features that have a weight, or -1; starts anew when full
+        known: dict[bytes, tuple] = {}  # the buckets with a weight that a word has; starts anew when full
 
         def one(t: bytes) -> float:
-            found = features(t)
+            found = set(t.lower().split())
             new = found.difference(known)
-            if len(known) + len(new) > 500_000:
+            if len(known) + len(new) > 300_000:
                 known.clear()
                 new = found
-            for f in new:
-                b = bucket(f)
-                known[f] = b if b in weights else -1
-            hit = set(map(known.__getitem__, found))
-            hit.discard(-1)
-            z = base + sum(weights[b] for b in sorted(hit))
+            for w in new:
+                known[w] = tuple(b for b in map(bucket, word_features(w)) if b in weights or any(more(b, n) in weights for n in TIMES))
+            hit = Counter(b for x in map(known.__getitem__, found) if x for b in x)
+            there = {*hit, *(more(b, n) for b, c in hit.items() for n in TIMES if c >= n)}
+            z = base + sum(weights[b] for b in sorted(there) if b in weights)
             return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-min(700.0, max(-700.0, z)))))
 
         for whole in batches:
