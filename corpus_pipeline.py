@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import exact_dedup, near_dedup, pack_docs, secrets, toxicity
-from stratalog.llm.common import release, shared_dir, staged, table
+from stratalog.llm.common import fresh, release, shared_dir, staged, table
 
 #: Near copies share four fifths of their five-word shingles at least.
 PERCENT = 80
@@ -21,7 +21,8 @@ PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+    out = fresh(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.CUT).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

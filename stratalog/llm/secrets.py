@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import slices, table
+from stratalog.llm.common import fresh, slices, table
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
@@ -124,8 +124,9 @@ def redacted(text: str, mark: str = "[secret]", reach: int = REACH) -> str:
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every span replaced by the mark, in the same columns; null texts stay null."""
     keep = [c for c in df.columns if c != text]
-    out = _mapped(df.withColumn("_null", F.col(text).isNull()), text, [*keep, "_null"], T.StructField(text, T.StringType()), lambda t: redacted(t, mark), pa.string())
-    return out.withColumn(text, F.when(~F.col("_null"), F.col(text))).select(*df.columns)
+    null = fresh(df, "_null")
+    out = _mapped(df.withColumn(null, F.col(text).isNull()), text, [*keep, null], T.StructField(text, T.StringType()), lambda t: redacted(t, mark), pa.string())
+    return out.withColumn(text, F.when(~F.col(null), F.col(text))).select(*df.columns)
 
 
 def _joined(spans: Column) -> Column:

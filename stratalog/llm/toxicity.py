@@ -45,9 +45,17 @@ def bucket(feature: bytes) -> int:
     return zlib.crc32(feature) & (BUCKETS - 1)
 
 
+_ODD, _STEP = 2654435761, 40503
+
+
 def more(b: int, n: int) -> int:
     """The bucket for n or more distinct words of a text with a feature in bucket b."""
-    return (b * 2654435761 + n * 40503) & (BUCKETS - 1)
+    return (b * _ODD + n * _STEP) & (BUCKETS - 1)
+
+
+def fewer(b: int, n: int) -> int:
+    """The bucket whose more() is b."""
+    return (b - n * _STEP) * pow(_ODD, -1, BUCKETS) & (BUCKETS - 1)
 
 
 def features(text: bytes) -> np.ndarray:
@@ -183,6 +191,7 @@ def score(docs: DataFrame, model: NonNegativePU | None, text: str = "text", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = sent.value
+        watched = {*weights, *(fewer(b, n) for b in weights for n in TIMES)}
         known: dict[bytes, tuple] = {}  # the buckets with a weight that a word has; starts anew when full
 
         def one(t: bytes) -> float:
@@ -192,7 +201,7 @@ def score(docs: DataFrame, model: NonNegativePU | None, text: str = "text", out:
                 known.clear()
                 new = found
             for w in new:
-                known[w] = tuple(b for b in map(bucket, word_features(w)) if b in weights or any(more(b, n) in weights for n in TIMES))
+                known[w] = tuple([b for b in map(bucket, word_features(w)) if b in watched])
             hit = Counter(b for x in map(known.__getitem__, found) if x for b in x)
             there = {*hit, *(more(b, n) for b, c in hit.items() for n in TIMES if c >= n)}
             z = base + sum(weights[b] for b in sorted(there) if b in weights)
