@@ -2,10 +2,11 @@
 
 Vectors, as integers, are dealt into blocks of BLOCK rows. A block's index holds, for each component, posting segments of
 the rows whose values fall in the same quantised level, with the segment's smallest and largest value. A segment's impact
-for a query is what it may add above the least that component can give. Segments are processed by descending impact,
-adding to the rows' accumulators what they surely and at most give; a row gains no more than the next impact from each
-component in which it hasn't come up yet. Processing stops on proof only: when at most a share (RESCORE) of the block's
-rows can still reach the k-th surest score. Those possible members, all of them, are rescored exactly from their vectors.
+for a query is what it may add above the least that component can give. A block's queries are processed together, tier
+by tier of each one's segments by descending impact, adding to the rows' accumulators what they surely give. From a
+component, a row gains no more than that component's widest processed segment leaves open or than its largest unprocessed
+impact. Processing stops on proof only: when at most a share (RESCORE) of the block's rows can still reach the k-th surest
+score. Those possible members, all of them, are rescored exactly from their vectors.
 
 Queries meet the index block by block: a block of queries (QUERIES rows) with a block of vectors is one row of an
 equi-join on block numbers, no row-wise cross join; each pair of blocks gives at most k rows a query, which a ranked
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import stage, table
 
 BLOCK, QUERIES = 8192, 128
-LEVELS, RESCORE = 8, 0.25
+#: Levels of a component's values; the share of a block's rows that may be rescored without more segments; the shares of a
+#: query's segments, by descending impact, after which the proof is tried.
+LEVELS, RESCORE, TIERS = 32, 0.25, (0.7, 1.0)
 LARGEST = 1 << 28
 
 
@@ -34,7 +37,7 @@ class ImpactIndex:
 
     def __init__(self, x: np.ndarray, levels: int = LEVELS):
         self.x = x
-        self.segments: list[tuple[np.ndarray, int, int, int]] = []  # rows, component, smallest and largest value
+        segments: list[tuple[np.ndarray, int, int, int]] = []  # rows, component, smallest and largest value
         for d in range(x.shape[1]):
             order = np.argsort(x[:, d], kind="stable")
             values = x[order, d]
@@ -42,42 +45,58 @@ class ImpactIndex:
             edges = np.searchsorted(values, np.linspace(low, high, levels + 1)[1:-1]) if high > low else []
             for part in np.split(np.arange(len(values)), edges):
                 if len(part):
-                    self.segments.append((np.sort(order[part]), d, int(values[part[0]]), int(values[part[-1]])))
-        self.component = np.array([s[1] for s in self.segments])
-        self.low = np.array([s[2] for s in self.segments], np.int64)
-        self.high = np.array([s[3] for s in self.segments], np.int64)
-
-    def search(self, q: np.ndarray, k: int, rescore: float = RESCORE) -> np.ndarray:
-        """Rows among which are the k best scores and all that tie with them; the others are proved to be below."""
-        n, d = self.x.shape
+                    segments.append((np.sort(order[part]), d, int(values[part[0]]), int(values[part[-1]])))
+        self.rows = [s[0] for s in segments]
+        self.component = np.array([s[1] for s in segments])
+        self.low = np.array([s[2] for s in segments], np.int64)
+        self.high = np.array([s[3] for s in segments], np.int64)
+        self.first = np.flatnonzero(np.diff(self.component, prepend=-1))  # of each component's segments
+
+    def search(self, queries: np.ndarray, k: int, rescore: float = RESCORE, tiers: tuple[float, ...] = TIERS) -> list[np.ndarray]:
+        """For each query, rows among which are its k best scores and all that tie with them; the others are proved to be below."""
+        n, able = len(self.x), {}
         if n <= k:
-            return np.arange(n)
-        weight = q[self.component]
-        ends = weight * self.low, weight * self.high
-        best, worst = np.maximum(*ends), np.minimum(*ends)
-        base = np.full(d, np.iinfo(np.int64).max)
-        np.minimum.at(base, self.component, worst)
-        adds = np.stack([worst - base[self.component], best - base[self.component], np.ones(len(best), np.int64)], axis=1)
-        order = np.argsort(-adds[:, 1], kind="stable")
-        next_impact = np.append(adds[order[1:], 1], 0)
-        sums = np.zeros((n, 3), np.int64)  # surely given, given at most, components in which the row has come up
-        able = np.arange(n)
-        for i, s in enumerate(order):
-            sums[self.segments[s][0]] += adds[s]
-            if i % 32 == 31 or i == len(order) - 1:
-                surely = np.partition(sums[:, 0], n - k)[n - k]
-                able = np.flatnonzero(sums[:, 1] + next_impact[i] * (d - sums[:, 2]) >= surely)
-                if len(able) <= max(k, rescore * n):
-                    break
-        return able
-
-
-def _best(index: ImpactIndex, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = index.search(q, k + int((ids == own).sum()))
-    rows = rows[ids[rows] != own]
-    scores = index.x[rows] @ q
-    first = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][first], scores[first]
+            return [np.arange(n)] * len(queries)
+        weight = queries[:, self.component]
+        one, two = weight * self.low, weight * self.high
+        worst, best = np.minimum(one, two), np.maximum(one, two)
+        base = np.minimum.reduceat(worst, self.first, axis=1)[:, self.component]
+        surely, impact = worst - base, best - base
+        room = int(np.maximum.reduceat(impact, self.first, axis=1).sum(axis=1).max(initial=0))
+        kind = np.int32 if room < 1 << 31 else np.int64
+        place = np.argsort(np.argsort(-impact, axis=1, kind="stable"), axis=1)  # of each segment, by descending impact
+        sums = np.zeros((n, len(queries)), kind)
+        left, start = np.arange(len(queries)), 0
+        for share in tiers:
+            end = impact.shape[1] if share == tiers[-1] else int(share * impact.shape[1])
+            now = (place[left] >= start) & (place[left] < end)
+            adds = np.where(now, surely[left], 0).astype(kind)
+            for s in np.flatnonzero(now.any(axis=0)):
+                sums[self.rows[s]] += adds[:, s]
+            # a component gives a row what its segment surely does and a bit more, or, if that hasn't come up, its impact at most
+            open_ = np.where(place[left] < end, best[left] - worst[left], impact[left])
+            more = np.maximum.reduceat(open_, self.first, axis=1).sum(axis=1)
+            least = np.partition(sums, n - k, axis=0)[n - k] - more
+            proved, start = np.zeros(len(left), bool), end
+            for j, q in enumerate(left):
+                found = np.flatnonzero(sums[:, j] >= least[j])
+                if len(found) <= max(k, rescore * n) or share == tiers[-1]:
+                    able[q], proved[j] = found, True
+            left, sums = left[~proved], sums[:, ~proved]
+            if not len(left):
+                break
+        return [able[q] for q in range(len(queries))]
+
+
+def _best(index: ImpactIndex, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of each query's k best rows without its own."""
+    among = np.sort(ids)
+    times = np.searchsorted(among, own, side="right") - np.searchsorted(among, own)
+    for rows, q, mine in zip(index.search(queries, k + int(times.max(initial=0))), queries, own, strict=True):
+        rows = rows[ids[rows] != mine]
+        scores = index.x[rows] @ q
+        first = np.lexsort((ids[rows], -scores))[:k]
+        yield ids[rows][first], scores[first]
 
 
 def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
@@ -114,8 +133,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
             for held, asked in zip(batch.column("b_rows"), batch.column("q_rows"), strict=True):
                 _, ids, x = numbers(held)
                 index, out = ImpactIndex(x), []
-                for rid, own, q in zip(*numbers(asked), strict=True):
-                    found, scores = _best(index, ids, q, own, k)
+                rids, owns, queries = numbers(asked)
+                for rid, own, (found, scores) in zip(rids, owns, _best(index, ids, queries, owns, k), strict=True):
                     out.append((np.full(len(found), rid), np.full(len(found), own), found, scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["rid", "query_id", "vec_id", "score"])
 
