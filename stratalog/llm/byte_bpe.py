@@ -23,8 +23,8 @@ from stratalog.llm.bpe_cache import PartCache, PieceEncoder, byte_characters
 from stratalog.llm.common import slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of the memos: a task has two Python workers here, one that encodes and one that decodes.
-PARTS, PIECES = 300_000, 400_000
+#: Entries of a worker's memos.
+PARTS, PIECES = 600_000, 600_000
 _ODD_SPACE = regex.compile(r" \s|\s ")
 
 
@@ -92,12 +92,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, offsets: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, offsets: bool = True, decoded: str | None = None) -> DataFrame:
     """df's columns (or those in keep) with token_ids and, if asked for, token_bytes and token_chars: where each token starts.
-    Input columns of these names are replaced."""
-    added = ["token_ids", *(["token_bytes", "token_chars"] if offsets else [])]
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in added)])
+    decoded: also a column of that name with the bytes that the ids stand for, from the same worker. Input columns of these
+    names are replaced."""
+    lists = ["token_ids", *(["token_bytes", "token_chars"] if offsets else [])]
+    added = [*lists, *([decoded] if decoded else [])]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in map(str.lower, added)]
+    fields = [*(T.StructField(c, T.ArrayType(T.IntegerType())) for c in lists), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    schema = T.StructType([*(df.schema[c] for c in keep), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -107,6 +110,8 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 more = [_lists(ids)]
                 if offsets:
                     more += map(_lists, zip(*(bpe.offsets(i, t) for i, t in zip(ids, texts, strict=True)), strict=True))
+                if decoded:
+                    more.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more], names=[*keep, *added])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -130,7 +135,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    df = decode(encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], offsets=False), path)
+    df = encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], offsets=False, decoded="decoded")
     return df.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
