@@ -2,9 +2,10 @@
 
 Labelled outcomes (1: bad page) are counted by host, registered domain and suffix. At each level a beta-binomial prior's
 strength comes from the spread between the groups (analysis of variance), its mean from the level above, so a host with
-few outcomes leans on its domain, that on its suffix, that on the whole. A host is blocked where the lower credible bound
-of its bad rate is over the limit. Counts are sums with partial aggregation and the reputation joins on the host as an
-equi-join, whose hot partitions adaptive execution splits.
+few outcomes leans on its domain, that on its suffix, that on the whole. A host without outcomes has the prior of its domain,
+or of the first level above it that has outcomes. A host is blocked where the lower credible bound of its bad rate is over
+the limit. Counts are sums with partial aggregation and the reputation joins on the host as an equi-join, whose hot
+partitions adaptive execution splits.
 
 Null urls and urls without :// have an empty host and path, take no part in the counts and are allowed. Outcomes without a
 label don't count; repeated rows count each. Without outcomes every host is allowed."""
@@ -47,8 +48,22 @@ def _moments(level: str, name: str) -> str:
       from {level}, (select sum(x) / cast(sum(n) as double) as mu, cast(sum(n) as double) as total from suffixes) t) a) b)"""
 
 
-def sql(pages: str = "pages", outcomes: str = "outcomes", rules: tuple = RULES, bad_rate: float = BAD_RATE, z: float = Z) -> str:
-    """One query for Spark and DuckDB. pages: page_id, url; outcomes: page_id, bad (0 or 1)."""
+#: The name of a host without user and port, the registered domain of a name, and its suffix.
+_NAME = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+_DOMAIN = "case when regexp_extract(name, '[^.]+[.][^.]+$', 0) = '' then name else regexp_extract(name, '[^.]+[.][^.]+$', 0) end"
+_SUFFIX = "regexp_extract(name, '[^.]*$', 0)"
+#: More rows of host_rate: hosts without outcomes, at their prior.
+_OTHERS = f"""
+  union all
+  select o.host, coalesce(d.m, s.m, (select sum(x) / cast(sum(n) as double) from suffixes)) as m, (select k from k_host) as weight
+  from (select host, {_DOMAIN} as domain, {_SUFFIX} as suffix from (select host, {_NAME} as name from (
+      select a.host from (select distinct host from parts where host <> '') a left join counted c on a.host = c.host where c.host is null) b) e) o
+    left join domain_rate d on o.domain = d.domain left join suffix_rate s on o.suffix = s.suffix"""
+
+
+def sql(pages: str = "pages", outcomes: str = "outcomes", rules: tuple = RULES, bad_rate: float = BAD_RATE, z: float = Z, others: bool = False) -> str:
+    """One query for Spark and DuckDB. pages: page_id, url; outcomes: page_id, bad (0 or 1). Hosts without outcomes are
+    judged with others only."""
     alphabet = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""with cut as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from {pages}),
@@ -57,10 +72,10 @@ parts as (
 counted as (
   select p.host, count(*) as n, sum(o.bad) as x from parts p join (select page_id, bad from {outcomes} where bad is not null) o on p.page_id = o.page_id
   where p.host <> '' group by p.host),
-named as (select host, n, x, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name from counted),
+named as (select host, n, x, {_NAME} as name from counted),
 hosts as (
-  select host, n, x, case when regexp_extract(name, '[^.]+[.][^.]+$', 0) = '' then name else regexp_extract(name, '[^.]+[.][^.]+$', 0) end as domain,
-    regexp_extract(name, '[^.]*$', 0) as suffix from named),
+  select host, n, x, {_DOMAIN} as domain,
+    {_SUFFIX} as suffix from named),
 domains as (select domain, max(suffix) as suffix, sum(n) as n, sum(x) as x from hosts group by domain),
 suffixes as (select suffix, sum(n) as n, sum(x) as x from domains group by suffix),
 {_moments("suffixes", "k_suffix")},
@@ -71,7 +86,7 @@ domain_rate as (
   select d.domain, (d.x + (select k from k_domain) * s.m) / (d.n + (select k from k_domain)) as m from domains d join suffix_rate s on d.suffix = s.suffix),
 host_rate as (
   select h.host, (h.x + (select k from k_host) * d.m) / (h.n + (select k from k_host)) as m, h.n + (select k from k_host) as weight
-  from hosts h join domain_rate d on h.domain = d.domain),
+  from hosts h join domain_rate d on h.domain = d.domain{_OTHERS if others else ""}),
 blocked as (select host as bad_host from host_rate where m - {z} * sqrt(m * (1 - m) / (weight + 1)) > {bad_rate})
 select page_id, host, path, {_rule_case(rules, 1)} as rule,
   coalesce({_rule_case(rules, 0)}, case when bad_host is null then 'allow' else 'block' end) as verdict
@@ -80,7 +95,7 @@ from parts left join blocked on host = bad_host"""
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, bad_rate: float = BAD_RATE, z: float = Z) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages (page_id, url); outcomes has page_id and bad (0 or 1)."""
-    return pages.sparkSession.sql(sql("{p}", "{o}", rules, bad_rate, z), p=pages.select("page_id", "url"), o=outcomes.select("page_id", "bad"))
+    return pages.sparkSession.sql(sql("{p}", "{o}", rules, bad_rate, z, others=True), p=pages.select("page_id", "url"), o=outcomes.select("page_id", "bad"))
 
 
 #: The tables have no page labels; a page takes the quality label with its number.

@@ -101,6 +101,17 @@ def test_reputation_shrinks_towards_domain_and_suffix(spark):
     assert url_filter.judge(pages(spark, urls).limit(0), outcomes).count() == 0
 
 
+def test_hosts_without_outcomes_take_their_prior(spark):
+    labelled = [(f"http://h{i % 12}.bad.net/", 1) for i in range(240)] + [(f"http://h{i % 12}.worse.xyz/", 1) for i in range(240)]
+    labelled += [(f"http://h{i % 60}.good{i % 30}.com/", 0) for i in range(1800)]
+    urls = [u for u, _ in labelled] + ["http://new.bad.net:80/", "http://new.unseen.xyz/", "http://new.good1.com/", "http://new.unseen.com/", "http://new.unseen.dev/", "no host"]
+    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(labelled)], "page_id long, bad int")
+    rows = url_filter.judge(pages(spark, urls), outcomes, rules=()).collect()
+    got = {r.host: r.verdict for r in rows}
+    assert len(rows) == len(urls) and got["h1.bad.net"] == got["new.bad.net:80"] == got["new.unseen.xyz"] == "block"
+    assert {got[h] for h in ("new.good1.com", "new.unseen.com", "new.unseen.dev", "h1.good1.com", "")} == {"allow"}
+
+
 # Toxicity
 
 
