@@ -47,14 +47,22 @@ def strong_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _near(parts: list[tuple[int, int, int]], starts: list[int], start: int, end: int, scope: int, reach: int) -> bool:
-    """Whether a part (start, end, scope) other than the span itself lies in the scope within reach. Parts are sorted;
-    those that may reach back start within the longest part's size."""
-    longest = 4096
-    for s, e, k in parts[bisect_left(starts, start - reach - longest) : bisect_right(starts, end + reach)]:
-        if k == scope and e >= start - reach and (s, e) != (start, end):
-            return True
-    return False
+def _by_scope(parts: list[tuple[int, int, int]]) -> dict[int, tuple[list[int], list[list[tuple[int, int]]]]]:
+    """For each scope of the parts (start, end, scope): their starts in order, and with each the two parts, as (end, start),
+    that reach farthest among those up to there."""
+    out: dict = {}
+    for s, e, k in sorted(set(parts)):
+        starts, far = out.setdefault(k, ([], []))
+        starts.append(s)
+        far.append(sorted([*(far[-1] if far else ()), (e, s)])[-2:])
+    return out
+
+
+def _near(parts: dict, start: int, end: int, scope: int, reach: int) -> bool:
+    """Whether a part other than the span itself lies in the scope within reach, however long the part is."""
+    starts, far = parts.get(scope, ((), ()))
+    i = bisect_right(starts, end + reach)
+    return i > 0 and any(e >= start - reach and (e, s) != (end, start) for e, s in far[i - 1])
 
 
 def all_spans(text: str, reach: int = REACH) -> list[tuple[int, int, str]]:
@@ -79,13 +87,12 @@ def all_spans(text: str, reach: int = REACH) -> list[tuple[int, int, str]]:
         weak = [w for w in weak if free(w[0], w[1])]
         blanks = [m.start() for m in _BLANK.finditer(text)]
         scope = lambda s: bisect_right(blanks, s)
-        with_scope = lambda kinds: sorted((s, e, scope(s)) for s, e, k in strong + weak if k in kinds)
+        with_scope = lambda kinds: _by_scope([(s, e, scope(s)) for s, e, k in strong + weak if k in kinds])
         ids, secrets = with_scope(("access", "weak_id")), with_scope(("assign", "hex", "weak_secret"))
-        id_starts, secret_starts = [x[0] for x in ids], [x[0] for x in secrets]
         linked = set()
         for s, e, k in weak:
-            beside_id = _near(ids, id_starts, s, e, scope(s), reach)
-            beside_secret = _near(secrets, secret_starts, s, e, scope(s), reach)
+            beside_id = _near(ids, s, e, scope(s), reach)
+            beside_secret = _near(secrets, s, e, scope(s), reach)
             if beside_secret if k == "weak_id" else beside_id if k == "weak_secret" else beside_id and beside_secret:
                 linked.add((s, e, k))
         strong += linked

@@ -57,6 +57,25 @@ def test_weak_parts_count_only_together():
     assert kinds("AKIA12345678901234 key=abcd1234") == [("access", "AKIA12345678901234"), ("weak_secret", "abcd1234")]
 
 
+@pytest.mark.parametrize("part", ["secret=" + "Z" * 5000, "deadbeef" * 5000])
+def test_long_parts_link_what_follows(part):
+    assert kinds(f"{part} user=alice")[1:] == kinds(f"user=alice {part}")[:1] == [("weak_id", "alice")]
+    assert kinds(f"{part}\n\nuser=alice")[1:] == kinds(part + " x" * 200 + " user=alice")[1:] == []
+    assert kinds(f"user={'z' * 5000} key=abcd1234") == [("weak_id", "z" * 5000), ("weak_secret", "abcd1234")]
+    assert secrets.redacted(f"{part} user=alice") == "[secret] user=[secret]"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_near_is_the_same_as_looking_at_every_part(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        starts = [rng.randrange(300) for _ in range(rng.randrange(12))]
+        parts = [(s, s + rng.choice([1, 5, 200]), s // 100) for s in starts]
+        for s, e, k in [*parts, (150, 155, 1)]:
+            want = any(c == k and b >= s - 10 and a <= e + 10 and (a, b) != (s, e) for a, b, c in parts)
+            assert secrets._near(secrets._by_scope(parts), s, e, k, 10) == want
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijkl b", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, _null long")
     out = secrets.redact(df)
