@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a broadcast side may have; beyond it the same join runs as a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: Bytes a broadcast side may take, measured; beyond it the same join runs as a shuffle join.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row group of staged tables, which a writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +36,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def same_name(columns: list[str], name: str) -> str | None:
+    """The column of that name as it is written there; Spark doesn't tell upper from lower case."""
+    return next((c for c in columns if c.lower() == name.lower()), None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set a temporary one does, but only if all of Spark
+    is in this process, as in tests; executors on other hosts couldn't read it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="stratalog-")
-        spark.sparkContext.setCheckpointDir(at)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
-_staged: dict[str, list[str]] = {}
+_staged: dict[str, set[str]] = {}
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,12 +71,17 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
 
 def stage(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and reread: lineage ends there, every executor can read it, and a
-    lost executor costs no recomputation. release() removes the files when the results have been used."""
+    lost executor costs no recomputation. A writing task buffers ROW_GROUP bytes at most. Operators delete what none of
+    their further steps reads (unstage); what a result still reads goes with release() or when Python ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stratalog-stage-{uuid.uuid4().hex}"
     with cleaning(spark):
-        df.write.parquet(at)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(at)
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(at)
+    if not _staged:
+        atexit.register(_release_all)
+    _staged.setdefault(spark.sparkContext.applicationId, set()).add(at)
+    if (scope := _scope.get()) is not None:
+        scope.append(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
     return out
@@ -69,32 +90,62 @@ def stage(df: DataFrame) -> DataFrame:
 def _delete(spark: SparkSession, at: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _staged.get(spark.sparkContext.applicationId, set()).discard(at)
 
 
 def unstage(*frames: DataFrame) -> None:
     """Deletes what stage() has written for these, once nothing that is still to run reads them."""
     for df in frames:
-        spark = df.sparkSession
-        _staged[spark.sparkContext.applicationId].remove(df._staged_at)
-        _delete(spark, df._staged_at)
+        _delete(df.sparkSession, df._staged_at)
 
 
-def staged(spark: SparkSession) -> int:
-    """How many tables stage() has written in this application so far; a mark for release()."""
-    return len(_staged.get(spark.sparkContext.applicationId, []))
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The tables that stage() writes inside, in this thread; for release(). Other queries' tables aren't among them."""
+    made: list[str] = []
+    before = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(before)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what stage() has written after that mark; DataFrames built on it can't be read afterwards."""
-    known = _staged.get(spark.sparkContext.applicationId, [])
-    for at in known[since:]:
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Deletes a scope's tables; DataFrames built on them can't be read afterwards."""
+    known = _staged.get(spark.sparkContext.applicationId, set())
+    for at in [x for x in made if x in known]:
         _delete(spark, at)
-    del known[since:]
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else as it is (a shuffle join then)."""
-    return F.broadcast(df) if rows <= limit else df
+def _release_all() -> None:
+    """What results of this application still read goes when Python ends, if Spark is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark and SparkContext._active_spark_context:
+        with contextlib.suppress(Py4JError, OSError):
+            release(spark, list(_staged.get(spark.sparkContext.applicationId, ())))
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a row's column, about."""
+    x, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.ArrayType):
+        inside = kind.elementType
+        return F.coalesce((8 * len(inside.fields) + 16 if isinstance(inside, T.StructType) else 8) * F.size(x), F.lit(0)) + 16
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)) + 8
+    return F.lit(8) if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)) else F.coalesce(F.octet_length(F.to_json(F.struct(x))), F.lit(0)) + 8
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes they take as a broadcast side), counted in one job; for staged tables."""
+    row = sum((_width(f) for f in df.schema.fields), F.lit(32))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()
+    return rows, size
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its measured bytes are within the limit, else as it is (a shuffle join then)."""
+    return F.broadcast(df) if measured(df)[1] <= limit else df
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

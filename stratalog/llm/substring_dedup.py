@@ -1,23 +1,27 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window of WINDOW words is removed where the same words start in a document with a smaller key. Automata of all documents
-against all documents would take time in the square of the corpus, so passages are located first, by hashes:
+against all documents would take time in the square of the corpus, so passages are located first, by hashes, and only
+what was located streams through the automata of the references it may match:
 
 0. Whole copies of a text with a smaller key (two 64-bit hashes of the text agree) lose all words, if they hold a window.
 1. Anchors: in each window the GRAM-word run with the smallest hash, so equal windows have equal anchors and about one
    word in five starts one. Anchors that occur in one text only are settled: their windows are unique.
-2. Windows at the other anchors are counted by hash, with their smallest key. Where that is smaller than the
-   document's own, the window goes to the reference document of that key. Windows in a row with one owner are one passage.
+2. Windows at the other anchors are counted by 128 bits (the anchor's hash and the window's), with their smallest key. Where
+   that is smaller than the document's own, the window goes to the reference document of that key. Windows in a row with
+   one owner are one passage.
 3. Reference passages (of windows whose smallest key is their own document's) are dealt into shards of about SHARD words.
    Each shard's suffix automaton is sent to as many tasks as its passages' copies need, and these stream through it: the
    matching statistics confirm, word by word, which spans of the threshold's length or more go.
+4. A window that an automaton rejects has met another one's hash. The documents of such windows go through steps 2 and 3
+   again with another hash, until none is rejected. So no link is lost to a collision, and none is made by one.
 
-Every step but the last confirms nothing and loses nothing. Hot windows and anchors combine on the map side, and the join
-that brings owners back has exchanges of its own on both sides, so that adaptive execution splits a hot window; hot shards are
-dealt over several tasks, each with its own automaton of bounded size.
+Hot windows and anchors combine on the map side, and the join that brings owners back has exchanges of its own on both sides,
+so that adaptive execution splits a hot window; hot shards are dealt over several tasks, each with its own automaton of
+bounded size. Staged tables have small row groups, since readers and writers hold whole ones in memory.
 
-Null and empty texts have no words. Documents without a key keep all words and are no reference. Rows equal in key and
-text are judged alike. Only the columns named are read."""
+Null and empty texts have no words; texts of any length are read whole. Documents without a key keep all words and are no
+reference. Rows equal in key and text are judged alike. Only the columns named are read, so others may have any names."""
 
 from __future__ import annotations
 
@@ -28,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import grams, mix, slices, small, stage, table, unstage, words
+from stratalog.llm.common import BROADCAST_BYTES, grams, measured, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 5
 #: Words of a shard's reference passages, about (a state takes some 300 bytes), and rows that stream through one task's copy.
 SHARD, STREAM = 100_000, 2_000
-#: Numbers in a side that is broadcast; beyond it the join shuffles.
-BROADCAST_NUMBERS = 6_000_000
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(runs[place[once]].view(np.int64))], names=["a"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int, seed: int, bits: int) -> Iterator[pa.RecordBatch]:
     """a, k, t, start, ws: each place of an anchor, and the hashes of the windows, one after another from start, that it stands for."""
     for whole in batches:
         for batch, texts in slices(whole):
@@ -70,7 +72,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             starts, place, runs = anchors(hashes, first, window)
             at = np.flatnonzero(np.diff(place, prepend=-1))
             row = np.searchsorted(first, place[at], side="right") - 1
-            ws = pa.array(grams(hashes, window, seed=3)[starts].view(np.int64))
+            ws = pa.array((grams(hashes, window, seed)[starts] >> np.uint64(64 - bits)).view(np.int64))
             ends = pa.array(np.append(at, len(starts)).astype(np.int32))
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -82,17 +84,21 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """k, t, runs: found windows put together where one follows another with the same owner; start and stop in words."""
     for batch in batches:
-        out, ends = [], [0]
-        for found in batch.column("found").to_pylist():
-            last = None
-            for start, owner in sorted((x["start"], x["owner"]) for x in found):
-                if last and last["owner"] == owner and start <= last["stop"] - window + 1:
-                    last["stop"] = start + window
-                else:
-                    out.append(last := {"start": start, "stop": start + window, "owner": owner})
-            ends.append(len(out))
-        kind = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("owner", batch.schema.field("k").type)])
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, kind))], names=["k", "t", "runs"])
+        found = batch.column("found")
+        each = found.flatten()
+        owner = each.field("owner")
+        code = owner.dictionary_encode().indices.to_numpy()
+        start = each.field("start").to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(batch)), found.value_lengths().to_numpy())
+        order = np.lexsort((start, row))
+        row, start, code = row[order], start[order], code[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1]) | (start[1:] > start[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1
+        runs = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array((start[last] + window).astype(np.int32)), owner.take(pa.array(order[first]))], names=["start", "stop", "owner"])
+        ends = np.searchsorted(row[first], np.arange(len(batch) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.ListArray.from_arrays(pa.array(ends), runs)], names=["k", "t", "runs"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +114,15 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """k, t, start, stop (in words) of what goes; a part's reference passages come before what streams through them."""
-    part, automaton = None, None
-
+    """k, t, start, stop (in words) of what goes, and with ok false of each rejected window; a part's reference passages come
+    before what streams through them."""
+    part, automaton, ready = None, None, False
     for batch in batches:
         kind = batch.schema.field("k").type
         out: list[tuple] = []
         for p, reference, k, t, start, said in zip(*(batch.column(c).to_pylist() for c in ("part", "reference", "k", "t", "start", "words")), strict=True):
             if p != part:
-                part, automaton = p, SuffixAutomaton()
-                ready = False
+                part, automaton, ready = p, SuffixAutomaton(), False
             said = said.split()
             if reference:
                 automaton.add(said, k)
@@ -127,16 +132,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
                 ready = True
             run = None
             for i, label in enumerate(automaton.windows(said, window), start):
-                if label is not None and label < k:
-                    if run is not None and i <= run[1]:
-                        run[1] = i + window
-                    else:
-                        if run:
-                            out.append((k, t, *run))
-                        run = [i, i + window]
+                if label is None or label >= k:
+                    out.append((k, t, i, i + window, False))
+                elif run is not None and i <= run[1]:
+                    run[1] = i + window
+                else:
+                    if run:
+                        out.append((k, t, *run, True))
+                    run = [i, i + window]
             if run:
-                out.append((k, t, *run))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate((kind, pa.int64(), pa.int32(), pa.int32()))], names=["k", "t", "start", "stop"])
+                out.append((k, t, *run, True))
+        kinds = {"k": kind, "t": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "ok": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(kinds.values())], names=list(kinds))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -160,45 +167,72 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_numbers: int = BROADCAST_NUMBERS, shard: int = SHARD, stream: int = STREAM) -> DataFrame:
-    """k (the key), n_words, n_removed, kept (the kept words joined by a space, UTF-8) of each row."""
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("text"))
-    copies = stage(docs.where("k is not null and text is not null").groupBy("t", "t2").agg(F.min("k").alias("one"), F.max("k").alias("last")).where("one < last").select("t", "t2", "one"))
-    docs = docs.join(small(copies, 3 * copies.count(), broadcast_numbers), ["t", "t2"], "left").withColumn("copy", F.coalesce(F.col("k") > F.col("one"), F.lit(False)))
-    keyed = docs.where("k is not null and text is not null and not copy").select("k", "t", "text")
-
-    again = stage(keyed.select("text").mapInArrow(lambda x: _anchors(x, window), "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    held = stage(
-        keyed.mapInArrow(lambda x: _windows(x, window), f"a long, k {kind}, t long, start int, ws array<long>")
-        .join(small(again, again.count(), broadcast_numbers), "a").select("k", "t", "start", "ws")
-    )
-    unstage(again)
-    each = held.select("k", "t", F.col("start").alias("from"), F.posexplode("ws").alias("at", "w")).select("w", "k", "t", (F.col("from") + F.col("at")).alias("start"))
-    owners = stage(each.groupBy("w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("w", "owner"))
-    found = each.join(owners.hint("merge"), "w").groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
+def _located(keyed: DataFrame, again: DataFrame, kind: str, window: int, seed: int, bits: int, limit: int) -> DataFrame:
+    """Staged k, t, runs: the passages at those anchors that have an owner, their own document or one with a smaller key."""
+    made = keyed.mapInArrow(lambda x: _windows(x, window, seed, bits), f"a long, k {kind}, t long, start int, ws array<long>")
+    held = stage(made.join(small(again, limit), "a").select("a", "k", "t", "start", "ws"))
+    each = held.select("a", "k", "t", F.col("start").alias("from"), F.posexplode("ws").alias("at", "w")).select("a", "w", "k", "t", (F.col("from") + F.col("at")).alias("start"))
+    owners = stage(each.groupBy("a", "w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("a", "w", "owner"))
+    found = each.join(owners.hint("merge"), ["a", "w"]).groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
     runs = stage(found.mapInArrow(lambda x: _runs(x, window), f"k {kind}, t long, runs array<struct<start:int,stop:int,owner:{kind}>>"))
     unstage(held, owners)
-
-    def beside(side: DataFrame, numbers: str, how: str, rows: DataFrame) -> DataFrame:
-        """rows with the column that side (k, t, ...) has for them."""
-        return rows.join(small(side, side.agg(F.coalesce(F.sum(F.expr(numbers)) + 2 * F.count("*"), F.lit(0))).first()[0], broadcast_numbers), ["k", "t"], how)
-
-    passages = stage(beside(runs, "3 * size(runs)", "inner", keyed).mapInArrow(_passages, f"owner {kind}, k {kind}, t long, start int, words binary"))
-    unstage(runs)
-    passages = passages.withColumn("reference", F.col("owner") == F.col("k"))
-    size = F.octet_length("words") / 6
-    shards = max(1, int((passages.where("reference").agg(F.sum(size)).first()[0] or 0) // shard) + 1)
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    load = passages.where("not reference").groupBy("shard").agg(F.ceil(F.count("*") / stream).cast("int").alias("parts"))
-    dealt = passages.join(small(load, shards), "shard")
+    return runs
+
+
+def _judged(keyed: DataFrame, runs: DataFrame, kind: str, window: int, shard: int, stream: int, limit: int) -> DataFrame:
+    """Staged k, t, start, stop, ok: the spans of the runs that the automata confirm, and the windows that they reject."""
+    passages = stage(keyed.join(small(runs, limit), ["k", "t"]).mapInArrow(_passages, f"owner {kind}, k {kind}, t long, start int, words binary"))
+    cut = passages.withColumn("reference", F.col("owner") == F.col("k"))
+    words_ = F.octet_length("words") / 6
+    shards = max(1, int((cut.where("reference").agg(F.sum(words_)).first()[0] or 0) // shard) + 1)
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    load = stage(cut.where("not reference").groupBy("shard").agg(F.ceil(F.count("*") / stream).cast("int").alias("parts")))
+    dealt = cut.join(small(load, limit), "shard")
     mine = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k", "t", "start"), F.col("parts")).cast("int")))
     dealt = dealt.withColumn("copy", F.explode(mine)).select(F.xxhash64("shard", "copy").alias("part"), "reference", "k", "t", "start", "words")
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.desc("reference"))
-    spans = dealt.mapInArrow(lambda x: _confirmed(x, window), f"k {kind}, t long, start int, stop int")
-    spans = stage(spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    return beside(spans, "2 * size(spans)", "left", docs).select("k", "copy", "text", "spans").mapInArrow(lambda x: _cut(x, window), f"k {kind}, n_words long, n_removed long, kept binary")
+    out = stage(dealt.mapInArrow(lambda x: _confirmed(x, window), f"k {kind}, t long, start int, stop int, ok boolean"))
+    unstage(passages, load)
+    return out
+
+
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, shard: int = SHARD, stream: int = STREAM, bits: int = 64
+) -> DataFrame:
+    """k (the key), n_words, n_removed, kept (the kept words joined by a space, UTF-8) of each row. bits: of the first
+    round's window hash, fewer in tests of collisions only."""
+    kind, limit = docs.schema[key].dataType.simpleString(), broadcast_bytes
+    docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("text"))
+    copies = stage(docs.where("k is not null and text is not null").groupBy("t", "t2").agg(F.min("k").alias("one"), F.max("k").alias("last")).where("one < last").select("t", "t2", "one"))
+    few = measured(copies)[1] <= limit
+    docs = docs.join(F.broadcast(copies) if few else copies, ["t", "t2"], "left").withColumn("copy", F.coalesce(F.col("k") > F.col("one"), F.lit(False)))
+    keyed = docs.where("k is not null and text is not null and not copy").select("k", "t", "text")
+    if not few:  # else each of the passes below would shuffle the texts again
+        keyed = stage(keyed)
+    of = lambda rows: rows.select("text").mapInArrow(lambda x: _anchors(x, window), "a long")
+    again = stage(of(keyed).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    judged, seed = [], 3
+    while True:
+        runs = _located(keyed, again, kind, window, seed, bits if not judged else 64, limit)
+        unstage(again)
+        judged.append(_judged(keyed, runs, kind, window, shard, stream, limit))
+        unstage(runs)
+        rejected = stage(judged[-1].where("not ok").select("k", "t").distinct())
+        if rejected.isEmpty():
+            unstage(rejected)
+            break
+        again = stage(of(keyed.join(small(rejected, limit), ["k", "t"], "left_semi")).distinct())
+        unstage(rejected)
+        seed += 1
+    spans = judged[0]
+    for more in judged[1:]:
+        spans = spans.unionAll(more)
+    spans = stage(spans.where("ok").groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    unstage(*judged, *([] if few else [keyed]))
+    out = docs.join(small(spans, limit), ["k", "t"], "left").select("k", "copy", "text", "spans")
+    return out.mapInArrow(lambda x: _cut(x, window), f"k {kind}, n_words long, n_removed long, kept binary")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words of every row of documents, by windows of 13 words."""
     return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
