@@ -2,18 +2,27 @@
 
 A text's set holds its distinct SHINGLE-word shingles (with fewer words, the whole sequence as one), as 64-bit hashes of
 ASCII-lower-cased words. Rather than minhashes for every table, two collections of BANDS bands of ROWS minhashes are
-made; a table key is a pair (band of the first, band of the second), so BANDS**2 tables of 2 * ROWS minhashes come from only
-2 * BANDS * ROWS of them. At the similarity 0.85 a pair has no table in common with probability 1.5e-4.
+made; a table's key combines a pair (band of the first, band of the second), so BANDS**2 tables of 2 * ROWS minhashes come
+from only 2 * BANDS * ROWS of them. At the similarity 0.85 a pair has no table in common with probability 1.5e-4. Pairs are
+only formed of bands that other texts have too.
 
-Equal sets are one node from the start. Nodes meet in the buckets of the first collection's bands, where the second's
-bands make up the rest of the table key; buckets are cut into chunks of CHUNK nodes and every two chunks meet in one task, so
-memory is bounded and no pair is left out. A pair counts in its first common band only, and goes on if its equal minhashes
-allow the similarity (a link is lost there with probability 3e-6). Candidates are confirmed on their full sets, from the
-whole texts, within units of nodes that meet in one task; each unit gives only a spanning forest of its links, and no
-list of pairs is ever written. Components come from distributed star rounds.
+Equal sets are one node from the start. Two rounds then find the links, each confirmed on full sets from the whole texts:
 
-Null and empty texts have no shingles and are linked with nothing. Null keys are larger than any key; a component of null
-keys only has a null id, and all its rows stay. Rows equal in key and text are judged alike."""
+1. Each node meets one pivot: the first node of a bucket, of the bucket that it shares with the most of its tables. That is
+   one comparison a node, and joins nearly all copies of a text into one component.
+2. Buckets whose nodes aren't all in one component by then are gone through in full: every node outside the bucket's
+   largest component meets every node of another component there, in chunks of CHUNK nodes, so memory is bounded and no pair
+   is left out. A pair counts in its first common table only, and goes on if its equal minhashes allow the similarity (a
+   link is lost there with probability 3e-6).
+
+So a bucket of n near copies costs n comparisons and n for each node that isn't linked to its pivot, not n squared; only
+texts that share a table, are just too different, and aren't joined by way of others meet each with each. Comparisons
+happen in units of nodes that meet in one task; a unit gives only a spanning forest of its links, and no list of pairs of a
+group is ever written. Components come from distributed star rounds.
+
+Null and empty texts have no shingles and are linked with nothing; texts of any length are read whole, one batch of about 1
+MB (or one text) at a time. Null keys are larger than any key; a component of null keys only has a null id, and all its
+rows stay. Rows equal in key and text are judged alike. Only the two named columns are read, so others may have any names."""
 
 from __future__ import annotations
 
@@ -23,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_ROWS, grams, mix, slices, small, stage, table, words
+from stratalog.llm.common import BROADCAST_BYTES, grams, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
@@ -57,9 +66,9 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) keys of the first collection's bands: the band's number and its digests."""
-    b = m[:, :_N].reshape(len(m), BANDS, ROWS).astype(np.int64)
-    return np.arange(BANDS) << 48 | b[:, :, 0] << 32 | b[:, :, 1] << 16 | b[:, :, 2]
+    """(sets, 2 * BANDS) keys of the bands of both collections: the band's number and its digests."""
+    b = m.reshape(len(m), 2 * BANDS, ROWS).astype(np.int64)
+    return np.arange(2 * BANDS) << 48 | b[:, :, 0] << 32 | b[:, :, 1] << 16 | b[:, :, 2]
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -121,7 +130,8 @@ def _least_equal(percent: int) -> int:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """unit, cid, partners: nodes with those they must be compared with, in units of nodes that stay together."""
+    """unit, cid, partners: nodes with those of other components they must be compared with, in units of nodes that stay
+    together. A block's rows are those of two chunks of a bucket (ci, cj), or of one."""
     least = _least_equal(percent)
     schema = pa.schema([("unit", pa.int64()), ("cid", pa.int64()), ("partners", pa.list_(pa.int64()))])
     unit: dict[int, list[int]] = {}
@@ -133,8 +143,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
     for t in _groups(batches, "block"):
         block = t.column("block").to_numpy()
-        cid, mine, pair = (t.column(c).to_numpy() for c in ("cid", "chunk", "ci"))
-        band = t.column("bucket").to_numpy() >> 48
+        cid, label, mine, pair, i_table, j_table = (t.column(c).to_numpy() for c in ("cid", "label", "chunk", "ci", "i", "j"))
         m = np.frombuffer(b"".join(t.column("minhashes").to_pylist()), np.uint16).reshape(len(cid), -1)
         ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
         start, lefts, rights, size = 0, [], [], 0
@@ -142,32 +151,29 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         def sift(left: np.ndarray, right: np.ndarray) -> None:
             nonlocal name
             for at in range(0, len(left), 1 << 16):
-                i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-                equal = m[i] == m[j]
+                x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+                ok = label[x] != label[y]
+                x, y = x[ok], y[ok]
+                equal = m[x] == m[y]
                 ok = equal.sum(axis=1) >= least
-                i, j, equal = i[ok], j[ok], equal[ok]
-                bands = equal.reshape(len(i), 2, BANDS, ROWS).all(axis=3)
-                ok = (bands[:, 0].argmax(axis=1) == band[i]) & bands[:, 0].any(axis=1) & bands[:, 1].any(axis=1) & (cid[i] != cid[j])
-                for x, y, b in zip(cid[i[ok]].tolist(), cid[j[ok]].tolist(), block[i[ok]].tolist(), strict=True):
+                x, y, equal = x[ok], y[ok], equal[ok]
+                bands = equal.reshape(len(x), 2, BANDS, ROWS).all(axis=3)
+                ok = bands.any(axis=2).all(axis=1) & (bands[:, 0].argmax(axis=1) == i_table[x]) & (bands[:, 1].argmax(axis=1) == j_table[x])
+                for a, b, k in zip(cid[x[ok]].tolist(), cid[y[ok]].tolist(), block[x[ok]].tolist(), strict=True):
                     if name is None:
-                        name = b
-                    unit.setdefault(min(x, y), []).append(max(x, y))
-                    unit.setdefault(max(x, y), [])
+                        name = k
+                    unit.setdefault(min(a, b), []).append(max(a, b))
+                    unit.setdefault(max(a, b), [])
 
         for end in ends.tolist():
-            if end - start > 1:
-                a, b = _two(end - start)
-                a, b = a + start, b + start
-                if (apart := mine[start:end] != pair[start:end]).any() and not apart.all():
-                    ok = mine[a] != mine[b]
-                    a, b = a[ok], b[ok]
-                elif apart.all():  # only the second chunk's rows are here: its own block compares them
-                    a, b = a[:0], b[:0]
-                lefts, rights, size = [*lefts, a], [*rights, b], size + len(a)
-            start = end
+            a, b = _two(end - start)
+            a, b = a + start, b + start
+            if (mine[start:end] != pair[start:end]).any():  # two chunks: each of one with each of the other
+                ok = mine[a] != mine[b]
+                a, b = a[ok], b[ok]
+            lefts, rights, size, start = [*lefts, a], [*rights, b], size + len(a), end
             if size > 2048 or end == len(block):
-                if lefts:
-                    sift(np.concatenate(lefts), np.concatenate(rights))
+                sift(np.concatenate(lefts), np.concatenate(rights))
                 lefts, rights, size = [], [], 0
                 if len(unit) >= UNIT:
                     yield emit()
@@ -211,39 +217,87 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
 
-def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _tables(classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """key, i, j, cid of each table (i, j) that a node may share with another: its pairs of bands that others have too; and
+    the staged table behind it."""
+    bands = classes.select("cid", F.explode("keys").alias("band"))
+    shared = stage(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    which = F.shiftright("band", 48)
+    of = lambda own: F.collect_list(F.when(own, F.col("band")))
+    held = stage(bands.join(small(shared, limit), "band").groupBy("cid").agg(of(which < BANDS).alias("first"), of(which >= BANDS).alias("second")))
+    unstage(shared)
+    pairs = held.select("cid", "second", F.explode("first").alias("a")).select("cid", "a", F.explode("second").alias("b"))
+    number = lambda c: F.shiftright(c, 48).cast("int")
+    return pairs.select(F.xxhash64("a", "b").alias("key"), number("a").alias("i"), (number("b") - BANDS).alias("j"), "cid"), held
+
+
+def _pivots(tables: DataFrame, firsts: DataFrame, unit: int, limit: int) -> DataFrame:
+    """unit, cid, partners: each node with its pivot, and the pivot with each unit of those that meet it."""
+    met = tables.join(small(firsts, limit), "key").where("cid <> first").groupBy("cid", "first").agg(F.count("*").alias("n"))
+    own = stage(met.groupBy("cid").agg(F.max(F.struct("n", -F.col("first"))).alias("best")).select("cid", (-F.col("best")["col2"]).alias("pivot")))
+    parts = stage(own.groupBy("pivot").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts")))
+    dealt = own.join(small(parts, limit), "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("unit"), "cid", F.array("pivot").alias("partners"))
+    centres = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("pivot", "part").alias("unit"), F.col("pivot").alias("cid"), F.array().cast("array<long>").alias("partners"))
+    return dealt.unionAll(centres)
+
+
+def _unsettled(tables: DataFrame, labels: DataFrame, classes: DataFrame, chunk: int, limit: int) -> DataFrame:
+    """Rows for _candidates: of each bucket that holds several components, all nodes outside the largest one against all."""
+    labelled = tables.join(small(labels.withColumnRenamed("node", "cid"), limit), "cid", "left").withColumn("label", F.coalesce("root", "cid")).select("key", "i", "j", "cid", "label")
+    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.min("label").alias("one"), F.max("label").alias("other")).where("one < other")
+    split = stage(split.select("key", F.col("most.label").alias("most"), F.ceil(F.col("most.n") / chunk).cast("int").alias("many"), F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("few")))
+    nodes = labelled.join(small(split, limit), "key")
+    within = lambda n: F.pmod(F.xxhash64("cid", "key"), n).cast("int")
+    outside = F.col("label") != F.col("most")
+    nodes = nodes.withColumn("chunk", F.when(outside, within(F.col("few"))).otherwise(F.col("few") + within(F.col("many"))))
+    others = F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    met = nodes.withColumn("other", F.explode(others)).select("key", "i", "j", "cid", "label", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
+    met = met.withColumn("block", F.xxhash64("key", "ci", "cj")).join(classes.select("cid", "minhashes"), "cid")
+    return met.repartition("block").sortWithinPartitions("block", "key", "ci", "cj")
+
+
+def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, unit: int = UNIT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """k (the key), h (xxhash64 of the text), n_shingles, component_id, kept of each row of docs. Links are pairs with
     100 * intersection >= percent * union."""
-    docs = docs.select(F.col(key), F.col(text))
+    docs, limit = docs.select(F.col(key), F.col(text)), broadcast_bytes
     rows = stage(_signed(docs, key, text))
     first = F.struct(F.col("k").isNull().alias("none"), "k", "h")
     classes = stage(
         rows.where("n_shingles > 0").groupBy("node").agg(F.min(first).alias("rep"), F.first("keys").alias("keys"), F.first("minhashes").alias("minhashes"))
         .select(F.monotonically_increasing_id().alias("cid"), "node", "rep", "keys", "minhashes")
     )
-    spread = classes.select("cid", F.explode("keys").alias("bucket"))
-    shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = spread.join(small(shared, shared.count(), broadcast_rows), "bucket")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid", "bucket"), F.col("chunks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "cid", "bucket", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")
-    )
-    met = met.withColumn("block", F.xxhash64("bucket", "ci", "cj")).join(classes.select("cid", "minhashes"), "cid")
-    met = met.repartition("block").sortWithinPartitions("block", "bucket", "ci", "cj")
-    needed = stage(met.mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"))
-    wanted = stage(needed.select("cid").distinct().join(classes, "cid").select("cid", "rep.k", "rep.h"))
+    tables, held = _tables(classes, limit)
+    firsts = stage(tables.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"))
+    tables = stage(tables.join(small(firsts.select("key"), limit), "key", "left_semi"))
+    unstage(held)
+    wanted = stage(tables.select("cid").distinct().join(classes, "cid").select("cid", "rep.k", "rep.h"))
     found = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    sides = small(wanted, wanted.count(), broadcast_rows)
+    sides = small(wanted, limit)
     found = found.join(sides, found["k"].eqNullSafe(sides["k"]) & (found["h"] == sides["h"])).select("cid", "text")
     texts = stage(found.groupBy("cid").agg(F.first("text").alias("text")))
-    units = needed.join(texts, "cid").repartition("unit").sortWithinPartitions("unit", "cid")
-    roots = components(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"))
-    named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    named = named.withColumn("root", F.coalesce("root", "cid"))
+
+    def confirmed(needed: DataFrame) -> DataFrame:
+        units = needed.join(texts, "cid").repartition("unit").sortWithinPartitions("unit", "cid")
+        return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"))
+
+    near = confirmed(_pivots(tables, firsts, unit, limit))
+    labels = stage(components(near))
+    label = lambda node, name: labels.select(F.col("node").alias(node), F.col("root").alias(name))
+    needed = stage(_unsettled(tables, labels, classes, chunk, limit).mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"))
+    more = confirmed(needed)
+    across = more.join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    joined = stage(components(across))
+    unstage(firsts, tables, wanted, texts, near, needed, more)
+
+    own: Column = F.coalesce("root", "cid")
+    named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("node", "first", own.alias("label"))
+    named = named.join(joined.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "first", F.coalesce("root", "label").alias("root"))
+    named = stage(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    judged = named.join(least, "root").select("node", "component_id")
-    out = rows.join(judged, "node", "left")
+    judged = stage(named.join(least, "root").select("node", "component_id"))
+    unstage(classes, labels, joined, named)
+    out = rows.join(small(judged, limit), "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.col("component_id"))
     return out.select("k", "h", "n_shingles", own.alias("component_id"), F.col("k").eqNullSafe(own).alias("kept"))
 
@@ -256,4 +310,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of documents, linked at 85 per cent."""
     return mark(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_shingles", "component_id", "kept")
