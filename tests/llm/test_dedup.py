@@ -22,15 +22,15 @@ def frame(spark, rows):
 # Exact
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_exact_groups(spark, limit):
+@pytest.mark.parametrize(("limit", "bits"), [(64 << 20, 64), (-1, 64), (-1, 2)])
+def test_exact_groups(spark, limit, bits):
     long = "ab" * 9000
     texts = [None, "", "a", "a ", "A", "b", "b", long, long, long + "c", long[:-1] + "c", "é" * 5000, "é" * 5000, "é" * 4999 + "e", None]
     rows = list(enumerate(texts * 2))
     groups = {}
     for d, t in rows:
         groups.setdefault(t or "", []).append(d)
-    found = {r.row.doc_id: r for r in exact_dedup.mark(frame(spark, rows), block=64, broadcast_rows=limit).collect()}
+    found = {r.row.doc_id: r for r in exact_dedup.mark(frame(spark, rows), block=64, broadcast_bytes=limit, bits=bits).collect()}
     assert len(found) == len(rows)
     for d, t in rows:
         g, r = groups[t or ""], found[d]
@@ -84,9 +84,9 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("percent", "chunk", "limit"), [(85, 512, 2_000_000), (80, 3, 0)])
+@pytest.mark.parametrize(("percent", "chunk", "limit"), [(85, 512, 64 << 20), (80, 3, -1)])
 def test_near_components(spark, near_rows, percent, chunk, limit):
-    out = near_dedup.mark(frame(spark, near_rows), percent=percent, chunk=chunk, broadcast_rows=limit)
+    out = near_dedup.mark(frame(spark, near_rows), percent=percent, chunk=chunk, unit=chunk, broadcast_bytes=limit)
     check_near([(r.k, r.n_shingles, r.component_id, r.kept) for r in out.collect()], near_rows, percent)
 
 
@@ -170,8 +170,8 @@ def check_repeats(rows, docs):
         assert r[3] == brute.sha(" ".join(kept)), r[0]
 
 
-@pytest.mark.parametrize(("limit", "shard", "stream"), [(6_000_000, 100_000, 2_000), (0, 40, 2)])
-def test_repeated_windows_go(spark, limit, shard, stream):
+@pytest.mark.parametrize(("limit", "shard", "stream", "bits"), [(64 << 20, 100_000, 2_000, 64), (-1, 40, 2, 64), (64 << 20, 100_000, 2_000, 3)])
+def test_repeated_windows_go(spark, limit, shard, stream, bits):
     rng = random.Random(4)
     passages = [[f"p{rng.randrange(60)}" for _ in range(rng.randrange(12, 70))] for _ in range(6)]
     rows = []
@@ -184,7 +184,7 @@ def test_repeated_windows_go(spark, limit, shard, stream):
             said += p[a:] if rng.random() < 0.5 else p
         rows.append((d * 3 % 91, " ".join(said)))
     rows += [(200, None), (201, ""), (202, "a " * 13), (203, "a " * 12), (204, "a\t" * 30), (205, "A " * 13)]
-    out = substring_dedup.remove_repeats(frame(spark, rows), broadcast_numbers=limit, shard=shard, stream=stream).collect()
+    out = substring_dedup.remove_repeats(frame(spark, rows), broadcast_bytes=limit, shard=shard, stream=stream, bits=bits).collect()
     check_repeats([(r.k, r.n_words, r.n_removed, brute.sha(bytes(r.kept))) for r in out], rows)
 
 

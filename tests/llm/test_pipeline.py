@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from stratalog.llm import near_dedup, secrets, toxicity
-from stratalog.llm.common import release, shared_dir, stage, staged
+from stratalog.llm.common import release, scope, shared_dir, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,12 +50,14 @@ def test_stages_take_empty_tables_and_odd_rows(spark):
 def test_staged_tables_go_on_release(spark):
     import os
 
-    mark = staged(spark)
-    df = stage(spark.range(5))
+    other = stage(spark.range(3))
+    with scope() as made:
+        df = stage(spark.range(5))
     at = df._staged_at.removeprefix("file:")
     assert os.path.isdir(at) and at.startswith(shared_dir(spark).removeprefix("file:"))
-    release(spark, mark)
-    assert not os.path.isdir(at) and staged(spark) == mark
+    release(spark, made)
+    assert not os.path.isdir(at) and other.count() == 3
+    release(spark, made)  # nothing left to do
 
 
 def test_near_stage_uses_the_stage_threshold():
