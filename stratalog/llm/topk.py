@@ -8,14 +8,21 @@ component, a row gains no more than that component's widest processed segment le
 impact. Processing stops on proof only: when at most a share (RESCORE) of the block's rows can still reach the k-th surest
 score. Those possible members, all of them, are rescored exactly from their vectors.
 
-Queries meet the index block by block: a block of queries (QUERIES rows) with a block of vectors is one row of an
-equi-join on block numbers, no row-wise cross join; each pair of blocks gives at most k rows a query, which a ranked
-window with a partial limit merges. Vectors that are null, empty, hold null or non-finite components or ones whose integer
-is over LARGEST (their scores might not fit a long), and rows without an id, take no part; only vectors of the query's
-length are scored; rows with the query's id are left out. Ties go to the smaller id. Repeated rows are scored each."""
+Vectors of one length are dealt into blocks of a bounded number of components, queries into parts. A task takes a block, builds
+its index once, and a part's queries stream past it, QUERIES at a time; so a block is shipped once for each part of the
+queries and not for each of them, and no list of pairs is made. Each block gives at most k rows a query, which a ranked
+window with a partial limit merges.
+
+Vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; only vectors of the
+query's length are scored; a query's own row is left out, other rows with its id aren't. Ties go to the smaller id.
+Repeated rows are scored each. Finite components of any size count: vectors with one of LARGE or more go into blocks of
+their own, and where sums of products might not fit 64 bits, Python's integers score the block's rows one by one. Ranks
+are by the exact scores; a score beyond a long's range is shown as that range's end. Vectors of any length are taken
+whole. Only the two named columns and those of the query condition are read."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import stage, table
+from stratalog.llm.common import small, stage, table, unstage
 
-BLOCK, QUERIES = 8192, 128
+#: Rows and components of a block at most (one row at least); queries that are searched together, and in a part.
+BLOCK, COMPONENTS, QUERIES, PART = 8192, 1 << 20, 128, 8192
 #: Levels of a component's values; the share of a block's rows that may be rescored without more segments; the shares of a
 #: query's segments, by descending impact, after which the proof is tried.
 LEVELS, RESCORE, TIERS = 32, 0.25, (0.7, 1.0)
-LARGEST = 1 << 28
+#: Vectors with a component of this size or more are kept apart, as their scores may need more than 64 bits.
+LARGE = 1 << 18
 
 
 class ImpactIndex:
@@ -88,70 +97,142 @@ class ImpactIndex:
         return [able[q] for q in range(len(queries))]
 
 
-def _best(index: ImpactIndex, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and scores of each query's k best rows without its own."""
-    among = np.sort(ids)
-    times = np.searchsorted(among, own, side="right") - np.searchsorted(among, own)
-    for rows, q, mine in zip(index.search(queries, k + int(times.max(initial=0))), queries, own, strict=True):
-        rows = rows[ids[rows] != mine]
-        scores = index.x[rows] @ q
-        first = np.lexsort((ids[rows], -scores))[:k]
-        yield ids[rows][first], scores[first]
-
-
-def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about that many, dealt by a hash of the row number; and how many block numbers there are."""
-    count = max(1, -(-df.count() // size))
-    dealt = df.withColumn(name, F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int"))
-    return dealt.groupBy("length", name).agg(F.collect_list(F.struct("rid", "id", "v")).alias(f"{name}_rows")), count
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles, exactly; Python integers where they don't fit 53 bits."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(x * scale)
+    if not len(x) or np.abs(scaled).max() < 1 << 53:
+        return scaled.astype(np.int64)
+    whole = lambda v: int(v) * scale if abs(v) >= 1 << 53 else math.floor(v * scale)
+    return np.array([[whole(v) for v in row] for row in x.tolist()], object)
+
+
+class Searcher:
+    """One block of vectors (doubles), with its rows' numbers and ids."""
+
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, scale: int):
+        self.rids, self.ids, self.x, self.scale = rids, ids, integers(x, scale), scale
+        self.most = [int(v) for v in np.abs(self.x).max(axis=0)]
+        self.index = None
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, list]]:
+        """Ids and scores of each query's k best rows without its own."""
+        queries = integers(queries, self.scale)
+        bound = sum(int(a) * b for a, b in zip(np.abs(queries).max(axis=0), self.most, strict=True))
+        if bound < 1 << 59 and self.x.dtype != object and queries.dtype != object:
+            self.index = self.index or ImpactIndex(self.x)
+            able = self.index.search(queries, k + 1)
+        else:
+            able = [np.arange(len(self.x))] * len(queries)
+            queries = queries.astype(object)
+        for rows, q, mine in zip(able, queries, own, strict=True):
+            rows = rows[self.rids[rows] != mine]
+            scores = self.x[rows] @ q
+            first = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k] if scores.dtype == object else np.lexsort((self.ids[rows], -scores))[:k]
+            yield self.ids[rows[first]], scores[first].tolist()
+
+
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+_NINES = str.maketrans("0123456789", "9876543210")
+
+
+def beyond(score: int) -> str | None:
+    """A text that sorts as the score does, for scores at or beyond either end of a long."""
+    if _LOW < score < _HIGH:
+        return None
+    digits = str(abs(score))
+    return f"{len(digits):05d}{digits}" if score > 0 else f"{99_999 - len(digits):05d}{digits.translate(_NINES)}"
+
+
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int = BLOCK, components: int = COMPONENTS,
+    queries: int = QUERIES, part: int = PART,
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which is_query holds, the k largest integer inner products."""
     x = F.col(vector)
-    scaled = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
+    number = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = "float" if number == "float" else "double"
     usable = F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    fits = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < LARGEST / scale))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(math.inf))
     rows = stage(
-        vectors.where(usable & F.coalesce(fits, F.lit(False))).select(
-            F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("id"), F.size(x).alias("length"),
-            F.transform(scaled, lambda c: c.cast("int")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"),
+        vectors.where(usable & F.coalesce(F.forall(x, finite), F.lit(False))).select(
+            F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("id"), F.size(x).alias("length"), x.cast(f"array<{kind}>").alias("v"),
+            F.exists(x, lambda c: F.abs(c.cast("double")) >= LARGE).alias("large"), F.coalesce(is_query, F.lit(False)).alias("asks"),
         )
     )
-    data, n_data = _blocks(rows, block, "b")
-    asking, n_asking = _blocks(rows.where("asks"), queries, "q")
-    pairs = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asking - 1)))).join(
-        asking.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)))), ["length", "b", "q"]
-    )
+    # blocks: of each length, the large vectors' after the others'; parts: of each length's queries
+    fits = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(components) / F.col("length"))))
+    plain, large = (F.count(F.when(F.col("large") == kind, 1)) for kind in (False, True))
+    asking = F.count(F.when(F.col("asks"), 1))
+    counts = stage(rows.groupBy("length").agg(plain.alias("plain"), large.alias("more"), asking.alias("queries")).where("queries > 0").select(
+        "length", F.ceil(F.col("plain") / fits).cast("int").alias("plain"), F.ceil(F.col("more") / fits).cast("int").alias("more"), F.ceil(F.col("queries") / part).cast("int").alias("parts")
+    ))
+    dealt = rows.join(small(counts), "length")
+    within = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = F.when(F.col("large"), F.col("plain") + within(F.col("more"))).otherwise(within(F.col("plain")))
+    held = dealt.select("rid", "id", "length", "v", F.lit(False).alias("asks"), own.alias("block"), upto(F.col("parts")).alias("part"))
+    asked = dealt.where("asks").select("rid", "id", "length", "v", "asks", within(F.col("parts")).alias("part"), upto(F.col("plain") + F.col("more")).alias("block")).select(held.columns)
+    units = held.unionAll(asked).repartition("length", "block", "part").sortWithinPartitions("length", "block", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def numbers(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            at = rows.values
-            return at.field("rid").to_numpy(), at.field("id").to_numpy(), at.field("v").flatten().to_numpy().reshape(len(at), -1).astype(np.int64)
+        unit, searcher, waiting = None, None, []
+
+        def numbers(slices: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t = pa.Table.from_batches(slices).combine_chunks()
+            flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return t.column("rid").to_numpy(), t.column("id").to_numpy(), flat.astype(np.float64).reshape(t.num_rows, -1)
+
+        def answers() -> pa.RecordBatch:
+            out: list[tuple] = []
+            for rid, q, (ids, scores) in zip(*asked[:2], searcher.best(asked[2], asked[0], k), strict=True):
+                out += [(int(rid), int(q), int(i), min(max(s, _LOW), _HIGH), beyond(s)) for i, s in zip(ids, scores, strict=True)]
+            kinds = {"rid": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "beyond": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
         for batch in batches:
-            for held, asked in zip(batch.column("b_rows"), batch.column("q_rows"), strict=True):
-                _, ids, x = numbers(held)
-                index, out = ImpactIndex(x), []
-                rids, owns, queries = numbers(asked)
-                for rid, own, (found, scores) in zip(rids, owns, _best(index, ids, queries, owns, k), strict=True):
-                    out.append((np.full(len(found), rid), np.full(len(found), own), found, scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["rid", "query_id", "vec_id", "score"])
-
-    found = pairs.select("b_rows", "q_rows").mapInArrow(run, "rid long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "block", "part", "asks")], axis=1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                now, asks = tuple(marks[a, :3].tolist()), bool(marks[a, 3])
+                if now != unit:
+                    if searcher and waiting:
+                        asked = numbers(waiting)
+                        yield answers()
+                    unit, searcher, waiting = now, None, []
+                if asks and searcher is None:
+                    if not waiting:
+                        continue  # no vectors in this block
+                    searcher, waiting = Searcher(*numbers(waiting), scale), []
+                while a < b:
+                    room = b - a if not asks else min(b - a, queries - sum(w.num_rows for w in waiting))
+                    waiting.append(batch.slice(a, room))
+                    a += room
+                    if asks and sum(w.num_rows for w in waiting) >= queries:
+                        asked, waiting = numbers(waiting), []
+                        yield answers()
+        if searcher and waiting:
+            asked = numbers(waiting)
+            yield answers()
+
+    found = stage(units.mapInArrow(run, "rid long, query_id long, vec_id long, score long, beyond string"))
+    unstage(rows, counts)
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 best of all embeddings for those whose vec_id is divisible by 100."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 ORACLE = """with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as hugeint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
-  from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
-ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored)
+  select q.rid as q, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
+  from v q, v c where q.vec_id % 100 = 0 and c.rid <> q.rid and len(c.v) = len(q.v)),
+ranked as (select query_id, row_number() over (partition by q order by score desc, vec_id) as rank, vec_id, score from scored)
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from ranked where rank <= 10"""

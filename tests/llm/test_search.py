@@ -18,12 +18,45 @@ def test_scores_ranks_and_ties(spark, block, queries):
     vectors += [(1000 + i, vectors[0][1]) for i in range(25)]
     odd = [(2000, None), (2001, [None] * 6), (2002, [float("nan")] * 6), (2003, [math.inf] + [0.0] * 5), (None, [9.0] * 6), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors + odd], "vec_id long, embedding array<float>, rid string")
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, block=block, queries=queries).collect()
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, block=block, queries=queries, part=max(queries, 16)).collect()
     whole = [(i, [math.floor(float(np.float32(x)) * 1024) for x in v]) for i, v in vectors]
     want = brute.best(whole, [i for i, _ in vectors if i % 20 == 0], 7)
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def plain(rows, queries, k):
+    """As brute.best, for rows (id, vector) that may repeat."""
+    whole = [[math.floor(x * 1024) if abs(x) < 2**53 else 1024 * int(x) for x in v] for _, v in rows]
+    out = []
+    for q in queries:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), rows[i][0]) for i, v in enumerate(whole) if i != q)
+        out += [(rows[q][0], rank, i, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def test_large_components_count(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)]
+    rows += [(100, [300000.0, 0.0, 1.0, 2.0, -1.0]), (101, [300000.0, 1.0, 1.0, 2.0, -1.0]), (102, [-1e15, 1.0, 1.0, 1.0, 1.0]), (103, [1e300, 1.0, 0.0, 0.0, 0.0]), (104, [1.1e300, 1.0, 0.0, 0.0, 0.0]), (105, [-1e308, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 < 6, k=66, block=7).collect()
+    assert sorted(map(tuple, got)) == plain(rows, [i for i, (d, _) in enumerate(rows) if d % 20 < 6], 66)
+
+
+def test_repeated_ids_leave_out_the_own_row_only(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0, k=2).collect())) == plain(rows, [0, 1, 2], 2)
+
+
+def test_keys_beyond_a_long_sort_as_numbers():
+    values = [2**63 - 1, 2**63, 2**80, 10**400, -(2**63), -(2**63) - 5, -(10**30), -(10**400)]
+    high, low = [v for v in values if v > 0], [v for v in values if v < 0]
+    for part in (high, low):
+        assert sorted(part, key=topk.beyond) == sorted(part)
+    assert topk.beyond(5) is None
+
+
 def test_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 2048 * 1024), (0, 2, 2, 2048 * 1024)]
