@@ -180,10 +180,78 @@ def test_scores_without_labels_texts_or_rows(spark):
 
 def test_risk_turns_back_where_it_is_negative():
     rng = np.random.default_rng(0)
-    toxic = [np.unique(np.append(rng.integers(100, 5000, 30), 7)).astype(np.int32) for _ in range(60)]
-    clean = [np.unique(rng.integers(100, 5000, 30)).astype(np.int32) for _ in range(500)]
-    model = toxicity.NonNegativePU(0.1, steps=3000).fit(toxic, clean + toxic[:50])
-    assert 7 in model.chosen and np.isfinite(model.w).all() and model.w[list(model.chosen).index(7)] > 1
+    toxic = [np.unique(np.append(rng.integers(10, 50, 4), 7)) for _ in range(60)]
+    clean = [np.unique(rng.integers(10, 50, 4)) for _ in range(500)]
+    model = toxicity.NonNegativePU(0.1, steps=3000).fit(np.arange(50), toxic, clean + toxic[:50])
+    assert np.isfinite(model.w).all() and model.w[7] > 1 and abs(model.w[:7]).max() < 0.01
+
+
+def plain_model(docs, labels, steps=400):
+    """(features, weights, base) by dense matrices and plain loops, from the definition."""
+    learn = lambda d: zlib.crc32(str(d).encode()) % 4 != 2
+    known = {}
+    for d, t in labels:
+        if learn(d):
+            known[d] = max(t, known.get(d, 0))
+    prior = min(0.9, max(1e-3, sum(known.values()) / len(known)))
+
+    def of(text):
+        times = {}
+        for w in set(text.lower().encode().split()):
+            w = w.strip(b".,;:!?\"'()[]")
+            for f in {w, *(b"^" + w[:n] for n in (4, 5, 6, 7) if n < len(w))} if w else ():
+                times[toxicity.bucket(f)] = times.get(toxicity.bucket(f), 0) + 1
+        return set(times) | {toxicity.more(b, n) for b, c in times.items() for n in (2, 4) if c >= n}
+
+    sets = {d: of(t) for d, t in docs if learn(d)}
+    toxic = [sets[d] for d in sets if known.get(d)]
+    every = list(sets.values())
+    count = lambda rows: {f: sum(f in r for r in rows) for f in set().union(*toxic)}
+    a, b = count(toxic), count(every)
+    chosen = []
+    for f in sorted(a):
+        x, y = (a[f] + 0.5) / (len(toxic) + 1), (b[f] + 0.5) / (len(every) + 1)
+        z = (x - y) / (x * (1 - x) / len(toxic) + y * (1 - y) / len(every) + 1e-12) ** 0.5
+        if z > 3 and a[f] >= 4 and prior * x > 0.5 * y:
+            chosen.append(f)
+    xp, xu = (np.array([[f in r for f in chosen] for r in rows], float) for rows in (toxic, every))
+    w, c = np.zeros(len(chosen)), np.log(prior / (1 - prior))
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        zp, zu = xp @ w + c, xu @ w + c
+        sigmoid = lambda z: 1 / (1 + np.exp(-z))
+        one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+        negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        up = one(xu).T @ sigmoid(zu) / len(xu) - prior * one(xp).T @ sigmoid(zp) / len(xp)
+        g = prior * one(xp).T @ (sigmoid(zp) - 1) / len(xp) + up if negative >= 0 else -up
+        g[:-1] += 1e-3 * w / max(1, len(w))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, c = w - step[:-1], c - step[-1]
+    return chosen, w, c, of
+
+
+def test_model_is_that_of_the_definition(spark):
+    docs, labels = corpus(random.Random(11), 900)
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string, truth int").repartition(3)
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    chosen, w, c, of = plain_model([d[:2] for d in docs], [x[:2] for x in labels])
+    assert model.chosen.tolist() == chosen and chosen and np.allclose(model.w, w, atol=1e-6) and abs(model.b - c) < 1e-6
+    got = {r.doc_id: r.s for r in toxicity.score(df, model, out="s").collect()}
+    for d in docs:
+        z = c + sum(x for f, x in zip(chosen, w, strict=True) if f in of(d[1]))
+        assert abs(got[d[0]] - 1 / (1 + np.exp(-z))) < 1e-6
+    assert toxicity.score(df, model, out="SCORE").columns == ["doc_id", "text", "truth", "SCORE"]
+
+
+def test_samples_are_bounded_and_copies_count_once(spark):
+    docs, labels = corpus(random.Random(12), 300)
+    df = spark.createDataFrame(docs, "doc_id long, text string, x string, truth int")
+    again = df.unionAll(df).unionAll(df)
+    sample = toxicity._sample(again, "doc_id", "text", 50)
+    assert sample.count() == 50
+    copies = df.unionAll(df.selectExpr("doc_id + 10000", "text", "x", "truth"))
+    assert toxicity._apart(toxicity._sample(copies, "doc_id", "text", 10_000)).count() <= 300
 
 
 @pytest.mark.parametrize("n", toxicity.TIMES)
