@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import exact_dedup, near_dedup, pack_docs, secrets, toxicity
-from stratalog.llm.common import fresh, release, shared_dir, staged, table
+from stratalog.llm.common import fresh, release, scope, shared_dir, table
 
 #: Near copies share four fifths of their five-word shingles at least.
 PERCENT = 80
@@ -59,9 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/stratalog-pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        mark = staged(spark)
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{i}")
-        release(spark, mark)
+        with scope() as made:
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{i}")
+        release(spark, made)
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
     return docs
