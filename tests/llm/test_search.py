@@ -1,8 +1,12 @@
+import gzip
 import math
 import random
+import re
+import time
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +120,88 @@ def test_nulls_repeats_and_no_rows(spark):
     assert warc.derive(responses(spark, rows).limit(0)).count() == 0
     pages = spark.createDataFrame([(None, None, None), (1, "u", "<b>x</b>")], "page_id long, url string, html string")
     assert sorted(r.block for r in warc.derive(warc.responses(pages)).collect() if r.warc_type == "conversion") == ["", "x"]
+
+
+BLOCK_TAGS = set("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table article section title header footer nav aside main blockquote pre form head body html".split())
+
+
+def parsed(html):
+    """Plain text by a loop over characters, with no pattern for markup."""
+    out, i = [], 0
+    while i < len(html):
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 2)
+            out.append(" ")
+            i = len(html) if end < 0 else end + 3
+        elif html[i] == "<" and i + 1 < len(html) and (html[i + 1].isalpha() or html[i + 1] in "!?/"):
+            end = html.find(">", i)
+            tag = html[i + 1 : len(html) if end < 0 else end]
+            name = re.split("[ \t\r\n\f/]", tag.removeprefix("/"))[0].lower()
+            i = len(html) if end < 0 else end + 1
+            if name in ("script", "style") and tag[0] != "/":
+                close = html.lower().find(f"</{name}>", i)
+                out.append(" ")
+                i = len(html) if close < 0 else close + len(name) + 3
+            else:
+                out.append("\n" if name in BLOCK_TAGS else "")
+        else:
+            out.append(html[i])
+            i += 1
+    pieces = "".join(out).split("&")
+    for n, piece in enumerate(pieces[1:], 1):
+        name, semicolon, rest = piece.partition(";")
+        known = warc.NAMES.get(name)
+        if name[:1] == "#" and semicolon:
+            digits, base = (name[2:], 16) if name[1:2] in ("x", "X") else (name[1:], 10)
+            try:
+                code = int(digits, base) if digits.isalnum() else -1
+            except ValueError:
+                code = -1
+            if code >= 0 and len(digits) <= (6 if base == 16 else 7):
+                known = chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+        pieces[n] = known + rest if semicolon and known else "&" + piece
+    lines = [" ".join(x for x in re.split("[ \t\r\f]", line) if x) for line in "".join(pieces).split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
+def test_text_is_that_of_an_independent_parser(spark):
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    pages += [HTML, None, "", "a<!-- b", "a<script>b", "a<style x", "<p", "a <", "1 < 2", "&#65;&#x41;&#0;&#xD800;&#38;lt;&amp;#60;&copy;&nope;&", "&#99999999;&#xZ;&;&#;&#128512;", "<script src=x>1</script >2", "<SCRIPT>x</sCript>y"]
+    pages = [p for p in pages if p != "<script src=x>1</script >2"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i long, html string")
+    got = {r.i: r.t for r in df.select("i", warc.plain_text(F.coalesce("html", F.lit(""))).alias("t")).collect()}
+    for i, p in enumerate(pages):
+        assert got[i] == parsed(p or ""), p
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<script", "<script>", "<style x", "<a ", "<p ", "<title", "<title>", "<html ", "&#", "&amp", "</script  ", " \n"])
+def test_time_is_in_proportion_to_the_text(spark, bit):
+    page = bit * ((1 << 20) // len(bit))
+    df = spark.createDataFrame([(page,)], "h string").select(F.length(warc.plain_text(F.col("h"))), warc._title(F.col("h")), warc._language(F.col("h")))
+    df.collect()
+    began = time.perf_counter()
+    df.collect()
+    assert time.perf_counter() - began < 4
+
+
+def test_responses_are_read_from_files(spark, tmp_path):
+    def one(kind, n, http, payload, **more):
+        block = http + payload
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{n}>", "WARC-Target-URI": f"http://h/{n}", "WARC-Date": f"2020-01-0{n}T00:00:00Z", "Content-Length": len(block), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\ncontent-type: text/html; charset=utf-8\r\n\r\n"
+    records = [one("warcinfo", 1, b"", b"software: x\r\n\r\n"), one("response", 2, http, "<p>é 🙂 &eacute;".encode()), one("request", 3, b"GET / HTTP/1.1\r\n\r\n", b""), one("response", 4, http, b"a\r\n\r\nb"), one("response", 5, b"no http at all", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc").write_bytes(records[1][:-20])
+    for name in ("a.warc", "b.warc.gz"):
+        rows = sorted(map(tuple, warc.read(spark, str(tmp_path / name)).collect()))
+        assert rows == [
+            ("<urn:uuid:2>", "http://h/2", "2020-01-02T00:00:00Z", "text/html; charset=utf-8", "<p>é 🙂 &eacute;", True),
+            ("<urn:uuid:4>", "http://h/4", "2020-01-04T00:00:00Z", "text/html; charset=utf-8", "a\r\n\r\nb", True),
+            ("<urn:uuid:5>", "http://h/5", "2020-01-05T00:00:00Z", "", "no http at all", True),
+        ]
+    assert [r.complete for r in warc.read(spark, str(tmp_path / "c.warc")).collect()] == [False]
+    made = warc.record(warc.derive(warc.read(spark, str(tmp_path / "a.warc")))).where("refers_to = '<urn:uuid:2>' and warc_type = 'conversion'").first()
+    assert made.block == "é 🙂 é" and made.warc_date == "2020-01-02T00:00:00Z" and "WARC-Source-Content-Type: text/html; charset=utf-8\r\n" in made.warc
