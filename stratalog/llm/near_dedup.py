@@ -39,7 +39,8 @@ from stratalog.llm.common import BROADCAST_BYTES, grams, mix, slices, small, sta
 from stratalog.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
-CHUNK, UNIT = 512, 512
+#: Nodes of a bucket's chunk; nodes of a unit of left-over comparisons, and of one pivot's unit.
+CHUNK, UNIT, AROUND = 512, 512, 64
 _N = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
 _SEEDS = _rng.integers(0, 1 << 63, (2 * _N, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -257,7 +258,7 @@ def _unsettled(tables: DataFrame, labels: DataFrame, classes: DataFrame, chunk:
     return met.repartition("block").sortWithinPartitions("block", "key", "ci", "cj")
 
 
-def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, unit: int = UNIT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, around: int = AROUND, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """k (the key), h (xxhash64 of the text), n_shingles, component_id, kept of each row of docs. Links are pairs with
     100 * intersection >= percent * union."""
     docs, limit = docs.select(F.col(key), F.col(text)), broadcast_bytes
@@ -281,7 +282,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         units = needed.join(texts, "cid").repartition("unit").sortWithinPartitions("unit", "cid")
         return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"))
 
-    near = confirmed(_pivots(tables, firsts, unit, limit))
+    near = confirmed(_pivots(tables, firsts, around, limit))
     labels = stage(components(near))
     label = lambda node, name: labels.select(F.col("node").alias(node), F.col("root").alias(name))
     needed = stage(_unsettled(tables, labels, classes, chunk, limit).mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"))

@@ -86,7 +86,7 @@ def near_rows():
 
 @pytest.mark.parametrize(("percent", "chunk", "limit"), [(85, 512, 64 << 20), (80, 3, -1)])
 def test_near_components(spark, near_rows, percent, chunk, limit):
-    out = near_dedup.mark(frame(spark, near_rows), percent=percent, chunk=chunk, unit=chunk, broadcast_bytes=limit)
+    out = near_dedup.mark(frame(spark, near_rows), percent=percent, chunk=chunk, around=chunk, broadcast_bytes=limit)
     check_near([(r.k, r.n_shingles, r.component_id, r.kept) for r in out.collect()], near_rows, percent)
 
 
