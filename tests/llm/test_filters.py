@@ -96,7 +96,7 @@ def pages(spark, urls):
 def test_rules_and_parts(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/es/a?b#c", "http://example.org/en/12", "http://example.org/en/2", "http://a.b.org", "https://x.com/fr/", "https://com/de/x", "https://x.com/dex",
             "http://org?x=/y", "http://org#f", "ftp://notexample.org/es/", "http://u@h.com:80/de/", "http://h.com/p://q", "a://b://c/d"]
-    none = spark.createDataFrame([], "page_id long, bad int")
+    none = spark.createDataFrame([], "url string, bad int")
     got = {r.page_id: r for r in url_filter.judge(pages(spark, urls), none).collect()}
     assert [got[i].rule for i in range(len(urls))] == [None, None, None, "example.org/es/", "example.org/en/1", "org/", None, "com/fr/", "com/de/", None, None, None, "org/", None, None, None]
     assert got[3].host == "example.org" and got[3].path == "/es/a" and (got[0].host, got[0].path) == ("", "") and (got[10].host, got[10].path) == ("org", "")
@@ -104,33 +104,65 @@ def test_rules_and_parts(spark):
 
 
 def test_host_path_rule_of_a_suffix_needs_its_path(spark):
-    none = spark.createDataFrame([], "page_id long, bad int")
+    none = spark.createDataFrame([], "url string, bad int")
     got = [r.rule for r in url_filter.judge(pages(spark, ["http://a.org/", "http://a.org/x", "http://org/"]), none).orderBy("page_id").collect()]
     assert got == ["org/"] * 3
 
 
+def outcomes(spark, pairs):
+    return spark.createDataFrame(pairs, "url string, bad int")
+
+
 def test_reputation_shrinks_towards_domain_and_suffix(spark):
     urls = ["http://bad.one.net/"] * 60 + [f"http://good.two{i % 20}.net/" for i in range(600)] + ["http://new.one.net/"] + ["http://lone.three.net/"]
     bad = [int(i % 3 > 0) for i in range(60)] + [int(i % 7 == 0) for i in range(600)] + [1] + [1]
-    outcomes = spark.createDataFrame(list(enumerate(bad)), "page_id long, bad int")
-    got = {r.host: r.verdict for r in url_filter.judge(pages(spark, urls), outcomes).collect()}
+    known = outcomes(spark, list(zip(urls, bad, strict=True)))
+    got = {r.host: r.verdict for r in url_filter.judge(pages(spark, urls), known).collect()}
     assert {h for h, v in got.items() if v == "block"} == {"bad.one.net", "new.one.net"} and got["lone.three.net"] == "allow"
-    unlabelled = outcomes.withColumn("bad", F.lit(None).cast("int"))
+    unlabelled = known.withColumn("bad", F.lit(None).cast("int"))
     assert {r.verdict for r in url_filter.judge(pages(spark, urls), unlabelled).collect()} == {"allow"}
-    assert url_filter.judge(pages(spark, urls).limit(0), outcomes).count() == 0
+    assert url_filter.judge(pages(spark, urls).limit(0), known).count() == 0
 
 
 def test_hosts_without_outcomes_take_their_prior(spark):
     labelled = [(f"http://h{i % 12}.bad.net/", 1) for i in range(240)] + [(f"http://h{i % 12}.worse.xyz/", 1) for i in range(240)]
     labelled += [(f"http://h{i % 60}.good{i % 30}.com/", 0) for i in range(1800)]
     urls = [u for u, _ in labelled] + ["http://new.bad.net:80/", "http://new.unseen.xyz/", "http://new.good1.com/", "http://new.unseen.com/", "http://new.unseen.dev/", "no host"]
-    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(labelled)], "page_id long, bad int")
-    rows = url_filter.judge(pages(spark, urls), outcomes, rules=()).collect()
+    rows = url_filter.judge(pages(spark, urls), outcomes(spark, labelled), rules=()).collect()
     got = {r.host: r.verdict for r in rows}
     assert len(rows) == len(urls) and got["h1.bad.net"] == got["new.bad.net:80"] == got["new.unseen.xyz"] == "block"
     assert {got[h] for h in ("new.good1.com", "new.unseen.com", "new.unseen.dev", "h1.good1.com", "")} == {"allow"}
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.example.co.uk": ("co.uk", "example.co.uk"), "example.co.uk": ("co.uk", "example.co.uk"), "co.uk": ("co.uk", "co.uk"), "u@x.y.net:80": ("net", "y.net"), "localhost": ("localhost", "localhost"),
+             "10.1.2.3:8080": ("", "10.1.2.3"), "me.github.io": ("github.io", "me.github.io")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.suffix, r.domain) for r in url_filter._named(df, url_filter.SUFFIXES).collect()} == hosts
+
+
+def test_posterior_is_the_beta_distribution():
+    rng = np.random.default_rng(4)
+    for a, b in [(1, 1), (2, 5), (0.3, 0.2), (0.01, 3), (40, 120), (2000, 6100)]:
+        share = (rng.beta(a, b, 400_000) <= 0.25).mean()
+        assert abs(url_filter.beta_below(np.array([a]), np.array([b]), 0.25)[0] - share) < 4e-3
+    assert np.allclose(url_filter.beta_below(np.array([1.0, 2.0]), np.array([1.0, 1.0]), 0.25), [0.25, 0.0625])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_of_urls_blocks_by_reputation_and_is_its_sql(spark, sf):
+    import duckdb
+
+    rows = url_filter.op8_url_filter(spark, f"/root/testdata/{sf}").collect()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '/root/testdata/{sf}/pages.parquet'")
+    want = con.execute(url_filter.ORACLE).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want)
+    bad = ("casino", "pills", "spam", "adult", "bets", "ads")
+    assert all((r.verdict == "block") == any(w in r.host for w in bad) for r in rows if r.rule is None)
+    assert any(r.verdict == "block" for r in rows if r.rule is None) or sf == "sf0.001"
+
+
 # Toxicity
 
 
