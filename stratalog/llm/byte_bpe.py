@@ -1,8 +1,12 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 encode() adds ids and the byte and character offset of each token; decode() turns ids back into bytes through the
-vocabulary's byte table, so tokens that split a character are put together again. Null texts count as empty and give no
-tokens; null ids decode to an empty text; other columns pass through as they are. No shuffle: both are maps over batches."""
+vocabulary's byte table, so tokens that split a character are put together again. No shuffle: both are maps over batches, of
+about 1 MB of text (or one text) at a time, and texts of any length are encoded whole.
+
+Null texts count as empty and give no tokens. Null lists of ids decode to an empty text; null ids in a list and ids that
+aren't in the vocabulary (negative ones too) stand for no bytes. Repeated rows are encoded each. Other columns pass through as
+they are; those with an added column's name, in any case, are replaced."""
 
 from __future__ import annotations
 
@@ -119,26 +123,30 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for."""
-    schema = T.StructType([*(f for f in df.schema if f.name != out), T.StructField(out, T.BinaryType())])
-    keep = [c for c in df.columns if c != out]
+    schema = T.StructType([*(f for f in df.schema if f.name.lower() != out.lower()), T.StructField(out, T.BinaryType())])
+    keep = [c for c in df.columns if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = byte_table(path).__getitem__
+        pieces = dict(enumerate(byte_table(path)))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [b"" if x.as_py() is None else b"".join(map(pieces, x.values.to_numpy(zero_copy_only=False).tolist())) for x in batch.column(ids)]
+                texts = [b"".join([pieces.get(i, b"") for i in x or ()]) for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes of every row of documents; also a hash of where the
+    tokens start in bytes and in characters."""
     path = public_tokenizers.path(VOCABULARY)
-    df = encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], offsets=False, decoded="decoded")
+    df = encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], decoded="decoded")
     return df.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("token_bytes").alias("byte_offsets_xxh64"),
+        F.xxhash64("token_chars").alias("char_offsets_xxh64"),
     )
