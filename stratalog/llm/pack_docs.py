@@ -6,7 +6,8 @@ filled is cut into power-of-two ones, which need no padding. Each task packs its
 number holds the task's partition, so numbers are unique and a task that runs again gives the same ones.
 
 Null and empty texts are documents of one token (the end id); repeated rows are packed each; documents of any length
-are cut into whole sequences first, so a long one never waits in the pool."""
+are cut into whole sequences first, so a long one never waits in the pool. Only the columns named are read; a key whose
+name, in any case, is that of an output column comes out with an underscore before it."""
 
 from __future__ import annotations
 
@@ -21,10 +22,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratalog.llm.bpe_cache import PartCache, PieceEncoder
-from stratalog.llm.common import slices, table
+from stratalog.llm.common import same_name, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: The tokenizer's own pattern, on normalised text without white space.
@@ -161,11 +163,14 @@ class Packer:
                 start, size, offset = start + part, size - part, offset + part
 
 
-def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of a document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, token_ids' bytes
-    aside. Every token bears loss here (plain documents)."""
-    kind = df.schema[key].dataType.simpleString()
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", answer: str | None = None, ids: bool = False) -> DataFrame:
+    """One row per piece of a document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for,
+    token_ids. Without an answer column every token bears loss (plain documents); with one, an example is the text, then the
+    answer and the end id, and only these last bear loss, up to the limit of a sequence (instruction data)."""
+    numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    name = f"_{key}" if key.lower() in [*numbers, "token_ids"] else key
+    names = [name, *numbers, *(["token_ids"] if ids else [])]
+    kind = df.schema[same_name(df.columns, key)].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, packer = words_tokenizer(path), Packer(limits)
@@ -174,22 +179,43 @@ def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id
 
         def rows(pieces: Iterator[tuple]) -> pa.RecordBatch:
             out: list[list] = [[] for _ in names]
-            for (k, ids), start, length, sequence, offset in pieces:
-                crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                for column, value in zip(out, (k, start, length, crc, len(ids) // 4, base + sequence, offset), strict=True):
+            for (k, packed), start, length, sequence, offset in pieces:
+                part = memoryview(packed)[4 * start : 4 * (start + length)]
+                more = [np.frombuffer(part, "<u4").astype(np.int32)] if ids else []
+                for column, value in zip(out, (k, start, length, zlib.crc32(part), len(packed) // 4, base + sequence, offset, *more), strict=True):
                     column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], keys_type), *(pa.array(x, pa.int64()) for x in out[1:])], names=names)
+            columns = [pa.array(out[0], keys_type), *(pa.array(x, pa.int64()) for x in out[1:7])]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.list_(pa.int32())) for x in out[7:])], names=names)
+
+        def examples(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple]:
+            answers = batch.column("answer").to_pylist() if answer else [None] * len(texts)
+            for k, t, said in zip(batch.column("k").to_pylist(), texts, answers, strict=True):
+                first = bpe.pack(t)
+                last = (bpe.pack(said.encode()) if said else b"") + END
+                loss = len(last) // 4 if answer else (len(first) + len(last)) // 4
+                yield (k, first + last), (len(first) + len(last)) // 4, loss
 
         for whole in batches:
-            keys_type = whole.schema.field(key).type
-            for batch, texts in slices(whole, text):
-                examples = ((k, bpe.pack(t) + END) for k, t in zip(batch.column(key).to_pylist(), texts, strict=True))
-                yield rows(x for e in examples for x in packer.add(e, len(e[1]) // 4, len(e[1]) // 4))
+            keys_type = whole.schema.field("k").type
+            for batch, texts in slices(whole, "text"):
+                yield rows(x for e in examples(batch, texts) for x in packer.add(*e))
         if keys_type is not None:
             yield rows(packer.end())
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` long" for n in names[1:]))
+    read = df.select(F.col(key).alias("k"), F.col(text).alias("text"), *([F.col(answer).alias("answer")] if answer else []))
+    return read.mapInArrow(run, f"`{name}` {kind}, " + ", ".join(f"`{n}` long" for n in numbers) + (", token_ids array<int>" if ids else ""))
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """key (conv_id:turn), prompt and answer of each assistant turn of (conv_id, turn, role, text): the prompt is the turn with
+    the number before it, if another role has it (the first of several by text), else empty; null texts count as empty, rows
+    without a conversation or turn go. An equi-join on both numbers, so a long conversation is no hot key."""
+    said = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    prompts = said.where("role is null or role <> 'assistant'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    both = said.where("role = 'assistant'").join(prompts, ["conv_id", "turn"], "left")
+    return both.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("text").alias("answer"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of documents in sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

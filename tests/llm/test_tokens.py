@@ -61,6 +61,14 @@ def test_clashing_columns_are_replaced_and_empty_tables_stay_empty(spark):
     assert bytes(byte_bpe.decode(nulls, PATH).first().decoded) == b""
 
 
+def test_odd_ids_stand_for_no_bytes(spark):
+    df = spark.createDataFrame([(1, [64, None, 65]), (2, [-1, 64, 10**6]), (3, [None]), (4, [])], "Decoded long, token_ids array<int>")
+    table = byte_bpe.byte_table(PATH)
+    out = byte_bpe.decode(df.withColumnRenamed("Decoded", "i").withColumn("DECODED", df.token_ids), PATH)
+    assert out.columns == ["i", "token_ids", "decoded"]
+    assert {r.i: bytes(r.decoded) for r in out.collect()} == {1: table[64] + table[65], 2: table[64], 3: b"", 4: b""}
+
+
 def test_query_of_ids(spark):
     encoding = brute.byte_bpe()
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
@@ -110,6 +118,36 @@ def test_query_of_packing(spark):
     assert check_pieces(pack_docs.op2_packing(spark, "/root/testdata/sf0.001").collect(), texts) == 0
 
 
+def test_conversations_are_packed_under_all_three_limits(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = pq.read_table("/root/testdata/sf0.001/conversations.parquet").to_pylist()
+    said = {(r["conv_id"], r["turn"]): r for r in rows}
+    before = lambda c, t: said.get((c, t - 1), {"role": "assistant"})
+    want = {f"{c}:{t}": (before(c, t)["text"] or "" if before(c, t)["role"] != "assistant" else "", r["text"] or "") for (c, t), r in said.items() if r["role"] == "assistant"}
+    made = pack_docs.turns(conversations)
+    assert {r.key: (r.prompt, r.answer) for r in made.collect()} == want
+    limits = pack_docs.Limits(tokens=256, segments=5, loss=100)
+    tokenizer, inside, ids = brute.word_bpe(), {}, {}
+    for r in pack_docs.pack(made, public_tokenizers.path(pack_docs.VOCABULARY), limits, key="key", text="prompt", answer="answer", ids=True).collect():
+        assert len(r.token_ids) == r.length and r.ids_crc32 == brute.crc(r.token_ids)
+        inside.setdefault(r.sequence_id, []).append(r)
+        ids.setdefault(r.key, []).append((r.start, r.token_ids))
+    for k, (prompt, answer) in want.items():
+        assert [i for _, part in sorted(ids[k]) for i in part] == [*brute.word_ids(tokenizer, prompt)[:-1], *brute.word_ids(tokenizer, answer)]
+    bound = 0
+    for parts in inside.values():
+        bearing = sum(max(0, p.start + p.length - max(p.start, p.doc_tokens - len(brute.word_ids(tokenizer, want[p.key][1])))) for p in parts)
+        assert sum(p.length for p in parts) <= 256 and len(parts) <= 5 and bearing <= 100
+        bound += bearing == 100
+    assert bound  # the third limit binds
+
+
+def test_packing_keys_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, "y"), (1, "a b", "z")], "start long, text string, offset string")
+    rows = pack_docs.pack(df, public_tokenizers.path(pack_docs.VOCABULARY), key="START").collect()
+    assert {(r["_START"], r.doc_tokens) for r in rows} == {(None, 1), (1, 3)} and sum(r.length for r in rows) == 7
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packer_respects_all_limits(cut):
     rng = random.Random(9)
