@@ -6,7 +6,9 @@ scope (text without a blank line, parts at most `reach` characters apart) an int
 a weak identifier beside a secret, a weak secret beside an identifier, and an endpoint beside both. Weak spans never
 overlap strong ones, and strong ones are never changed.
 
-Null and empty texts have no spans. Spans are in code points, end exclusive. A map over Arrow batches: no shuffle."""
+Null and empty texts have no spans; texts of any length are scanned whole, and parts of any length link. Repeated rows are
+scanned each, several secrets in one place are spans of their own. Spans are in code points, end exclusive. A map over Arrow
+batches: no shuffle. Other columns pass through under any names; one named `spans`, in any case, is replaced."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import fresh, slices, table
+from stratalog.llm.common import fresh, same_name, slices, table
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
@@ -114,7 +116,7 @@ def _mapped(df: DataFrame, text: str, keep: list[str], out: T.StructField, made:
 
 def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, reach: int = REACH) -> DataFrame:
     """The kept columns (all, if not given) and `spans`, an array of (kind, start, end); an input column `spans` is replaced."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != "spans"]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "spans"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     return _mapped(df, text, keep, T.StructField("spans", _SPANS), lambda t: [(k, s, e) for s, e, k in all_spans(t, reach)], kind)
 
@@ -130,6 +132,7 @@ def redacted(text: str, mark: str = "[secret]", reach: int = REACH) -> str:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every span replaced by the mark, in the same columns; null texts stay null."""
+    text = same_name(df.columns, text) or text
     keep = [c for c in df.columns if c != text]
     null = fresh(df, "_null")
     out = _mapped(df.withColumn(null, F.col(text).isNull()), text, [*keep, null], T.StructField(text, T.StringType()), lambda t: redacted(t, mark), pa.string())
@@ -141,6 +144,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, of every row of documents."""
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(

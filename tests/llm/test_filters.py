@@ -83,6 +83,8 @@ def test_redaction_keeps_columns_and_nulls(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "a [secret] b", 5), (2, None, 6), (3, "", 7)]
     spans = spark.createDataFrame([(1, "x", "deadbeefdeadbeef")], "doc_id long, spans string, text string")
     assert secrets.scan(spans).columns == ["doc_id", "text", "spans"]
+    assert secrets.scan(spans.withColumnRenamed("spans", "Spans")).columns == ["doc_id", "text", "spans"]
+    assert secrets.redact(spans, "TEXT").columns == spans.columns
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.scan(df.limit(0)).count() == 0
 
 
