@@ -52,18 +52,19 @@ def _character(code: Column) -> Column:
 
 
 def resolved(text: Column) -> Column:
-    """Each character reference replaced once, from left to right."""
+    """Each character reference replaced once, from left to right. The text and each name are worked out once: expressions
+    that stand in a plan several times may be computed as often."""
     names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    parts = F.split(text, "&", -1)
+    cut = F.transform(F.split(text, "&", -1), lambda part, i: F.struct(part.alias("part"), F.when(i > 0, F.regexp_extract(part, REFERENCE, 1)).alias("name")))
 
-    def one(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
+    def one(x: Column) -> Column:
+        part, name = x["part"], x["name"]
         digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
         by = F.when(F.substring(name, 1, 1) == "#", _character(digits.cast("bigint"))).otherwise(F.try_element_at(names, name))
-        return F.when((name == "") | by.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(by, F.substr(part, F.length(name) + 2)))
+        swapped = F.coalesce(F.concat(by, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+        return F.when(name.isNull(), part).when(name == "", F.concat(F.lit("&"), part)).otherwise(swapped)
 
-    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), one)
-    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(F.element_at(parts, 1), F.array_join(rest, "")))
+    return F.array_join(F.transform(cut, one), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -107,7 +108,8 @@ def derive(responses: DataFrame) -> DataFrame:
         F.octet_length(payload).cast("string"), F.lit("\r\n"),
     )
     made = lambda kind, mime, block: F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block"))
-    two = base.select("refers_to", "target_uri", "warc_date", "source_content_type", "payload_digest", F.explode(F.array(made("metadata", "application/warc-fields", fields), made("conversion", "text/plain", plain_text(payload)))).alias("made"))
+    both = F.array(made("metadata", "application/warc-fields", fields), made("conversion", "text/plain", plain_text(payload)))
+    two = base.select("refers_to", "target_uri", "warc_date", "source_content_type", "payload_digest", F.explode(both).alias("made"))
     return two.select(
         "made.warc_type", urn(F.col("made.warc_type"), F.col("refers_to"), F.col("payload_digest")).alias("record_id"), "refers_to", "target_uri", "warc_date",
         "source_content_type", "payload_digest", "made.content_type", "made.block", _digest(F.col("made.block")).alias("block_digest"),
