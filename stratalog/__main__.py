@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from stratalog.schema import StoreConfig
 from stratalog.server import MetricsServer, RespServer
 from stratalog.store import Store, WriteBatch
 
@@ -34,7 +35,7 @@ def demo(spark: SparkSession) -> None:
 
 
 def serve(spark: SparkSession, args: argparse.Namespace) -> None:
-    with Store(spark, args.data) as store:
+    with Store(spark, args.data, StoreConfig(verbose=args.verbose)) as store:
         server = RespServer(store, *_place(args.addr))
         print("serving RESP on %s:%d" % server.local_addr(), flush=True)
         if args.metrics_addr:

@@ -56,6 +56,11 @@ def history(log: DataFrame, lo=None, hi=None) -> DataFrame:
     return versions(log, lo, hi).orderBy("key", F.desc("seq"))
 
 
+def read(log: DataFrame) -> DataFrame:
+    """Key and value of every version, with no choice among them."""
+    return log.select("key", "value")
+
+
 def run_scan(log: DataFrame, lo=None, hi=None, snapshot: int | None = None) -> DataFrame:
     """Newest version of each key of the range with deletions kept."""
     return newest(log, lo, hi, snapshot).select("key", "value").orderBy("key")
@@ -69,11 +74,15 @@ def lookup_status(log: DataFrame, keys: DataFrame, snapshot: int | None = None)
     return asked.join(found, "key", "left").select("key", status.alias("status"), "value")
 
 
-def asof_lookup(log: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame:
-    """For each probe (the columns in by, which tell probes apart, with key and snap) the live value as of seq <= snap."""
-    joined = probes.join(log.select("key", "seq", "value"), "key").where("seq <= snap")
-    order = Window.partitionBy(*by).orderBy(F.desc("seq"))
-    return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1 and value is not null").drop("_rank")
+def asof_lookup(log: DataFrame, probes: DataFrame) -> DataFrame:
+    """Each probe (key, snap and any other columns) with seq and value of the key's newest version of seq <= snap, if it is
+    live. Probes and versions are sorted together by key and number, once, and each probe takes the last version before it;
+    no probe meets more than that one version."""
+    event = log.select("key", F.col("seq").alias("_at"), F.lit(0).alias("_kind"), F.struct("seq", "value").alias("_version"), F.lit(None).cast(probes.schema).alias("_probe"))
+    ask = probes.select("key", F.col("snap").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(event.schema["_version"].dataType).alias("_version"), F.struct(*probes.columns).alias("_probe"))
+    until = Window.partitionBy("key").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = event.unionAll(ask).withColumn("_seen", F.last("_version", ignorenulls=True).over(until))
+    return seen.where("_kind = 1 and _seen.value is not null").select("_probe.*", "_seen.seq", "_seen.value")
 
 
 def exists_count(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> DataFrame:

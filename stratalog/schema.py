@@ -24,10 +24,13 @@ class StoreConfig:
     group_commit: int = 1
     inline_compaction: bool = True
     bloom_keys: int = 1_000_000
+    #: Runs up to this many bytes in all stay in the executors' memory after a read; 0 for none.
+    block_cache_size: int = 0
+    #: Flushes and compactions are logged as information rather than for debugging only.
     verbose: bool = False
 
     def __post_init__(self):
-        least = {"memtable_size_threshold": 1, "compaction_size_threshold": 1, "level_multiplier": 2, "level0_file_limit": 1, "group_commit": 1, "bloom_keys": 1}
+        least = {"memtable_size_threshold": 1, "compaction_size_threshold": 1, "level_multiplier": 2, "level0_file_limit": 1, "group_commit": 1, "bloom_keys": 1, "block_cache_size": 0}
         for name, low in least.items():
             if getattr(self, name) < low:
                 raise ValueError(f"{name} must be {low} at least")

@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from stratalog.functions.keys import prefix_successor
 from stratalog.operators import merge, reads
 from stratalog.schema import VERSIONS, StoreConfig
+from stratalog.sources import bloom
 from stratalog.sources import manifest as manifests
+from stratalog.sources.cache import CacheStats, RunCache
 from stratalog.sources.files import Files
 from stratalog.sources.manifest import Manifest, Run
+from stratalog.sources.scratch import unstage
 from stratalog.stats import COUNTERS, LevelStats, StorageStats
 
 log = logging.getLogger(__name__)
@@ -108,8 +111,12 @@ class Store:
         self._pins: dict[int, int] = {}
         self._counts = dict.fromkeys(COUNTERS, 0)
         self._recent, self._unlogged = Recent(), []
+        self._cache = RunCache(self.config.block_cache_size)
         self._open()
 
+    def _tell(self, *said) -> None:
+        log.log(logging.INFO if self.config.verbose else logging.DEBUG, *said)
+
     def _open(self) -> None:
         for folder in ("manifest", "wal", "runs"):
             self.files.make(folder)
@@ -194,34 +201,55 @@ class Store:
 
     def write_frame(self, ops: DataFrame, order: str | None = None, stream: tuple[str, int] | None = None) -> int | None:
         """One batch from a DataFrame (key, value and, if keys repeat, a column that orders them); its number, or None if it
-        is empty or that stream batch is already in the store."""
+        is empty or that stream batch is already in the store. Raises if keys repeat and nothing orders them."""
         with self._lock:
             if stream and self._manifest.streams.get(stream[0], -1) >= stream[1]:
                 return None
             self.flush()
             seq = self._seq + 1
             rows = merge.batch_collapse(ops, seq, order) if order else ops.select("key", F.lit(seq).cast("long").alias("seq"), "value")
-            return self._bulk(rows, lambda run: seq, stream, "batches")
+            run = self._bulk(rows, stream, distinct=not order)
+            self._counts["batches"] += run is not None
+            return run and seq
 
     def load(self, ops: DataFrame, order: list[str]) -> int | None:
         """Puts and deletes in the order of the columns, each with a number of its own; the last one, or None if there are none."""
         with self._lock:
             self.flush()
-            return self._bulk(merge.number_densely(ops, order, self._seq).select("key", "seq", "value"), lambda run: run.max_seq, None, "puts")
+            numbered = merge.number_densely(ops, order, self._seq)
+            run = self._bulk(numbered.select("key", "seq", "value"), None)
+            unstage(numbered)
+            if run is None:
+                return None
+            deleted = self._read([run]).where("value is null").count()
+            self._counts["puts"] += run.rows - deleted
+            self._counts["deletes"] += deleted
+            return run.max_seq
+
+    def write_unversioned(self, rows: DataFrame) -> None:
+        """Rows (key, value) without numbers, as versions of number 0 that any other version of a key hides. Raises if keys
+        repeat, or if the store has such rows already, as nothing would order them."""
+        with self._lock:
+            if any(r.min_seq == 0 for r in self._manifest.runs):
+                raise ValueError("the store has unversioned rows already")
+            self.flush()
+            self._bulk(merge.unversioned(rows), None, distinct=True)
 
-    def _bulk(self, rows: DataFrame, last, stream: tuple[str, int] | None, counter: str) -> int | None:
+    def _bulk(self, rows: DataFrame, stream: tuple[str, int] | None, distinct: bool = False) -> Run | None:
         run = self._write_run(rows, 0, self._manifest.next_run)
         streams = self._manifest.streams | ({stream[0]: stream[1]} if stream else {})
         if run is None:
             if stream:
                 self._publish(streams=streams)
             return None
-        seq = last(run)
+        if distinct and not self._read([run]).groupBy("key").count().where("count > 1").isEmpty():
+            self.files.delete(f"runs/{run.name}")
+            raise ValueError("keys repeat; name a column that orders them")
+        seq = max(self._seq, run.max_seq)
         self._publish(runs=(*self._manifest.runs, run), next_run=run.number + 1, last_seq=seq, flushed_seq=seq, streams=streams)
         self._seq = seq
-        self._counts[counter] += 1
         self._compact_inline()
-        return seq
+        return run
 
     # Runs
 
@@ -256,7 +284,7 @@ class Store:
             self._counts["flushes"] += 1
             for name in logs:
                 self.files.delete(f"wal/{name}")
-            log.info("flushed %d versions to %s", run.rows, run.name)
+            self._tell("flushed %d versions to %s", run.rows, run.name)
 
     def _flush_if_full(self) -> None:
         if self._recent.bytes >= self.config.memtable_size_threshold:
@@ -301,8 +329,10 @@ class Store:
         kept = tuple(r for r in self._manifest.runs if r.name not in gone)
         past = self._manifest.last_seq if floor is None else floor
         self._publish(runs=(*kept, *([run] if run else [])), next_run=self._manifest.next_run + 1, history_floor=max(self._manifest.history_floor, past))
+        for name in gone:
+            self._cache.purge(name)
         self._counts["compactions"] += 1
-        log.info("compacted %d runs of level %d", len(runs), level)
+        self._tell("compacted %d runs of level %d", len(runs), level)
 
     def vacuum(self) -> list[str]:
         """Deletes the files of merged runs and old manifests. Not while a DataFrame made before may still be read."""
@@ -321,14 +351,35 @@ class Store:
 
     # Reads
 
-    def _read(self, runs: Iterable[Run]) -> DataFrame:
-        paths = [f"{self.path}/runs/{r.name}" for r in runs]
-        return self.spark.read.schema(VERSIONS).parquet(*paths) if paths else self.spark.createDataFrame([], VERSIONS)
+    def _read(self, runs: Iterable[Run], hold: bool = False) -> DataFrame:
+        """hold: runs that fit the cache stay in memory."""
+        frames, rest = [], []
+        for r in runs:
+            frame = self._cache.get(r.name, r.bytes, lambda r=r: self._read([r])) if hold and self._cache.limit else None
+            (rest if frame is None else frames).append(frame or f"{self.path}/runs/{r.name}")
+        if rest:
+            frames.append(self.spark.read.schema(VERSIONS).parquet(*rest))
+        out = frames[0] if frames else self.spark.createDataFrame([], VERSIONS)
+        for frame in frames[1:]:
+            out = out.unionAll(frame)
+        return out
+
+    def might_contain(self, key: bytes) -> bool:
+        """False only if no version of the key is there: recent ones are known, runs have key bounds and filters."""
+        with self._lock:
+            if bytes(key) in self._recent.keys:
+                return True
+            runs = [r for r in self._manifest.runs if r.may_hold(key, key + b"\0", None)]
+            return any(bloom.might_hold(self.spark, self.files, f"runs/{r.name}", bytes(key)) for r in runs)
+
+    def cache_stats(self) -> CacheStats:
+        with self._lock:
+            return self._cache.stats()
 
     def versions(self, lo: bytes | None = None, hi: bytes | None = None, snapshot: int | None = None) -> DataFrame:
         """The version log at this moment, from the runs that may hold rows of the range."""
         with self._lock:
-            frame = self._read(r for r in self._manifest.runs if r.may_hold(lo, hi, snapshot))
+            frame = self._read([r for r in self._manifest.runs if r.may_hold(lo, hi, snapshot)], hold=True)
             if self._recent.entries:
                 frame = frame.unionAll(self.spark.createDataFrame(self._recent.rows(), VERSIONS))
             return frame
@@ -344,16 +395,18 @@ class Store:
             if there:
                 return value
             runs = [r for r in self._manifest.runs if r.may_hold(key, key + b"\0", bound)]
-            frame = self._read(runs) if runs else None
+            frame = self._read(runs, hold=True) if runs else None
         row = reads.lookup(frame, bytearray(key), bound).first() if frame is not None else None
         return None if row is None or row["value"] is None else bytes(row["value"])
 
     get_at = get
 
     def multi_get(self, keys: Iterable[bytes], snapshot: Snapshot | None = None) -> DataFrame:
-        asked = self.spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+        """The live pairs of the keys, each once; every key asked for counts as a lookup."""
+        rows = [(bytearray(k),) for k in keys]
+        asked = self.spark.createDataFrame(rows, "key binary")
         with self._lock:
-            self._counts["gets"] += 1
+            self._counts["gets"] += len(rows)
             return reads.multi_get(self.versions(), asked, self._bound(snapshot))
 
     def scan(self, lo: bytes | None = None, hi: bytes | None = None, snapshot: Snapshot | None = None) -> DataFrame:
