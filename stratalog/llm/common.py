@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import contextvars
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.sources.scratch import cleaning, release, scope, shared_dir, stage, unstage
+
+__all__ = ["cleaning", "release", "scope", "shared_dir", "stage", "unstage"]
+
 #: Bytes a broadcast side may take, measured; beyond it the same join runs as a shuffle join.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of a row group of staged tables, which a writing task holds in memory.
-ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,90 +35,6 @@ def same_name(columns: list[str], name: str) -> str | None:
     return next((c for c in columns if c.lower() == name.lower()), None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where none is set a temporary one does, but only if all of Spark
-    is in this process, as in tests; executors on other hosts couldn't read it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-_staged: dict[str, set[str]] = {}
-_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def cleaning(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside remove their shuffle files when they end, rather than when the driver next collects its garbage."""
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEAN, before)
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and reread: lineage ends there, every executor can read it, and a
-    lost executor costs no recomputation. A writing task buffers ROW_GROUP bytes at most. Operators delete what none of
-    their further steps reads (unstage); what a result still reads goes with release() or when Python ends."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/stratalog-stage-{uuid.uuid4().hex}"
-    with cleaning(spark):
-        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(at)
-    if not _staged:
-        atexit.register(_release_all)
-    _staged.setdefault(spark.sparkContext.applicationId, set()).add(at)
-    if (scope := _scope.get()) is not None:
-        scope.append(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._staged_at = at
-    return out
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _staged.get(spark.sparkContext.applicationId, set()).discard(at)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Deletes what stage() has written for these, once nothing that is still to run reads them."""
-    for df in frames:
-        _delete(df.sparkSession, df._staged_at)
-
-
-@contextlib.contextmanager
-def scope() -> Iterator[list[str]]:
-    """The tables that stage() writes inside, in this thread; for release(). Other queries' tables aren't among them."""
-    made: list[str] = []
-    before = _scope.set(made)
-    try:
-        yield made
-    finally:
-        _scope.reset(before)
-
-
-def release(spark: SparkSession, made: list[str]) -> None:
-    """Deletes a scope's tables; DataFrames built on them can't be read afterwards."""
-    known = _staged.get(spark.sparkContext.applicationId, set())
-    for at in [x for x in made if x in known]:
-        _delete(spark, at)
-
-
-def _release_all() -> None:
-    """What results of this application still read goes when Python ends, if Spark is still there."""
-    spark = SparkSession.getActiveSession()
-    if spark and SparkContext._active_spark_context:
-        with contextlib.suppress(Py4JError, OSError):
-            release(spark, list(_staged.get(spark.sparkContext.applicationId, ())))
-
-
 def _width(field: T.StructField) -> Column:
     """Bytes of a row's column, about."""
     x, kind = F.col(f"`{field.name}`"), field.dataType
