@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.operators import merge, reads
+from stratalog.plans import stored
 from stratalog.plans.fixtures import EVENTS, OPS, RUNS, conversation_ops, events_log, order_runs
 
 SNAP, KEY, LO, HI, PREFIX, ABSENT = 5000, "user:000017", "user:000010", "user:000050", "user:00001", "user:00001x"
@@ -228,3 +229,111 @@ def change_feed(spark, d):
 def bulk_sequence(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
     return merge.number_densely(orders, ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "seq")
+
+
+# Through a store
+
+
+@_query(_live())
+def store_latest_state(spark, d):
+    return stored.text(stored.store(spark, d).scan())
+
+
+@_query(_live(f"key = '{KEY}'"))
+def store_get(spark, d):
+    """A single lookup by its value, as a table."""
+    value = stored.store(spark, d).get(KEY.encode())
+    return spark.createDataFrame([(KEY, value.decode())] if value is not None else [], "key string, value string")
+
+
+@_query(_live(f"key >= '{LO}' and key < '{HI}'"))
+def store_scan_range(spark, d):
+    return stored.text(stored.store(spark, d).scan(LO.encode(), HI.encode()))
+
+
+@_query(_live(f"starts_with(key, '{PREFIX}')"))
+def store_scan_prefix(spark, d):
+    return stored.text(stored.store(spark, d).scan_prefix(PREFIX.encode()))
+
+
+@_query(_live(f"seq <= {SNAP}"))
+def store_snapshot_scan(spark, d):
+    """Time travel by a number; the pin may go once the plan is made, as runs aren't deleted by reads."""
+    store = stored.store(spark, d)
+    with store.snapshot_at(min(SNAP, store.current_sequence())) as snapshot:
+        return stored.text(store.scan(snapshot=snapshot))
+
+
+@_query(_live(f"starts_with(key, '{PREFIX}') and seq <= {SNAP}"))
+def store_snapshot_prefix(spark, d):
+    store = stored.store(spark, d)
+    with store.snapshot_at(min(SNAP, store.current_sequence())) as snapshot:
+        return stored.text(store.scan_prefix(PREFIX.encode(), snapshot))
+
+
+@_query(f"with {EVENTS}, {_ASKED}, ranked as (select *, row_number() over (partition by key order by seq desc) as rn from log where key in (select key from asked)) select key, value from ranked where rn = 1 and value is not null")
+def store_multi_get(spark, d):
+    store = stored.store(spark, d)
+    asked = _asked(spark, d).select(F.col("key").cast("binary").alias("key"))
+    return stored.text(reads.multi_get(store.versions(), asked, store.current_sequence()))
+
+
+@_query(f"with {EVENTS} select key, seq, value from log where key >= '{LO}' and key < '{HI}'")
+def store_history(spark, d):
+    return stored.text(stored.store(spark, d).history(LO.encode(), HI.encode()))
+
+
+@_query(_live())
+def store_reopened(spark, d):
+    """Another store object on the same folder, which knows only what the manifest says."""
+    return stored.text(stored.Store(spark, stored.store(spark, d).path, stored.CONFIG).scan())
+
+
+def _compacted(spark, d):
+    """A store with its four runs merged while a snapshot is live."""
+    store = stored.store(spark, d, "compacted")
+    if 0 in store._manifest.levels():
+        with store.snapshot_at(min(SNAP, store.current_sequence())):
+            store.compact_now()
+    return store
+
+
+@_query(f"{_FLOOR} select * from kept")
+def store_compacted_versions(spark, d):
+    return stored.text(_compacted(spark, d).history())
+
+
+@_query(_live(f"seq <= {SNAP}"))
+def store_compacted_snapshot(spark, d):
+    store = _compacted(spark, d)
+    return stored.text(store.scan(snapshot=store.snapshot_at(min(SNAP, store.current_sequence()))))
+
+
+@_query(f"with {EVENTS}, ranked as (select *, row_number() over (partition by key order by seq desc) as rn from log) select key, seq, value from ranked where rn = 1 and value is not null")
+def store_merged_versions(spark, d):
+    """Merged with no snapshot live: deletions go, as no run lies below."""
+    store = stored.store(spark, d, "merged")
+    store.compact_now()
+    return stored.text(store.history())
+
+
+@_query(f"with {EVENTS} select count(value) as puts, count(*) - count(value) as deletes, max(seq) as sequence, cast({stored.PARTS} as bigint) as runs, cast(0 as bigint) as live_snapshots from log")
+def store_counters(spark, d):
+    stats = stored.store(spark, d).stats()
+    return spark.createDataFrame([(stats.puts_total, stats.deletes_total, stats.sequence, stats.total_sstables(), stats.live_snapshots)], "puts long, deletes long, sequence long, runs long, live_snapshots long")
+
+
+@_query("select printf('nation:%02d', n_nationkey) as key, case when n_regionkey = 1 then 'again' else n_name end as value from nation where n_regionkey <> 0")
+def store_small_writes(spark, d):
+    """Puts, deletions and a batch that are still in the log, read after another store object has replayed it."""
+    path = stored.small_writes(spark, d).path
+    return stored.text(stored.Store(spark, path, stored.CONFIG).scan())
+
+
+@_query("""with ops as (select n_nationkey + 1 as seq, printf('nation:%02d', n_nationkey) as key, n_name as value from nation
+  union all select 25 + row_number() over (order by n_nationkey), printf('nation:%02d', n_nationkey), null from nation where n_regionkey = 0
+  union all select 26 + (select count(*) from nation where n_regionkey = 0), printf('nation:%02d', n_nationkey), 'again' from nation where n_regionkey = 1)
+select key, cast(seq as bigint) as seq, value from ops""")
+def store_small_writes_history(spark, d):
+    """Every version with its number; a batch has one number."""
+    return stored.text(stored.small_writes(spark, d).history())
