@@ -32,6 +32,9 @@ from stratalog.stats import COUNTERS, LevelStats, StorageStats
 
 log = logging.getLogger(__name__)
 
+#: Rows of a Parquet page of a run; files are sorted, so reads of a key range leave out all pages beside it.
+PAGE_ROWS = 1000
+
 
 class WriteBatch:
     """Operations that are committed together; of several on one key the last holds."""
@@ -260,7 +263,7 @@ class Store:
         name = f"L{level}_{number}-{uuid.uuid4().hex}"
         at = f"{self.path}/runs/{name}"
         writer = rows.select(*(F.col(f.name).cast(f.dataType) for f in VERSIONS)).sortWithinPartitions("key", F.desc("seq")).write
-        writer.option("compression", self.config.compression).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).parquet(at)
+        writer.option("compression", self.config.compression).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).parquet(at)
         edges = self.spark.read.schema(VERSIONS).parquet(at).agg(F.count("*"), F.hex(F.min("key")), F.hex(F.max("key")), F.min("seq"), F.max("seq")).first()
         if not edges[0]:
             self.files.delete(f"runs/{name}")
