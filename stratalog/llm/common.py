@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stratalog.sources.scratch import cleaning, release, scope, shared_dir, stage, unstage
+from stratalog.sources.scratch import keeping, measured, release, scope, shared_dir, stage, unstage
 
-__all__ = ["cleaning", "release", "scope", "shared_dir", "stage", "unstage"]
+__all__ = ["keeping", "measured", "release", "scope", "shared_dir", "stage", "unstage"]
 
 #: Bytes a broadcast side may take, measured; beyond it the same join runs as a shuffle join.
 BROADCAST_BYTES = 64 << 20
@@ -35,27 +34,10 @@ def same_name(columns: list[str], name: str) -> str | None:
     return next((c for c in columns if c.lower() == name.lower()), None)
 
 
-def _width(field: T.StructField) -> Column:
-    """Bytes of a row's column, about."""
-    x, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, T.ArrayType):
-        inside = kind.elementType
-        return F.coalesce((8 * len(inside.fields) + 16 if isinstance(inside, T.StructType) else 8) * F.size(x), F.lit(0)) + 16
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(x), F.lit(0)) + 8
-    return F.lit(8) if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)) else F.coalesce(F.octet_length(F.to_json(F.struct(x))), F.lit(0)) + 8
-
-
-def measured(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes they take as a broadcast side), counted in one job; for staged tables."""
-    row = sum((_width(f) for f in df.schema.fields), F.lit(32))
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()
-    return rows, size
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its measured bytes are within the limit, else as it is (a shuffle join then)."""
-    return F.broadcast(df) if measured(df)[1] <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if its measured bytes are within the limit, else as it is (a shuffle join then). of: a table
+    that df is a part of, measured in its stead."""
+    return F.broadcast(df) if measured(df if of is None else of)[1] <= limit else df
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_BYTES, same_name, small, stage, table, unstage
+from stratalog.llm.common import BROADCAST_BYTES, keeping, measured, same_name, small, stage, table, unstage
 
 BLOCK = 4096
 
@@ -28,7 +28,7 @@ BLOCK = 4096
 def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     """Integer names from 1 on of distinct rows, in sorted order within parts dealt by the first column; written, so they
     stay as they are."""
-    return stage(distinct.repartition(by[0]).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id() + 1))
+    return stage(distinct.repartition(by[0]).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id() + 1), True)
 
 
 def _identities(rows: DataFrame, block: int, limit: int, bits: int) -> DataFrame:
@@ -38,12 +38,12 @@ def _identities(rows: DataFrame, block: int, limit: int, bits: int) -> DataFrame
     cut = rows.select("rid", blocks.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring(data, i * block + 1, F.lit(block)))).alias("at", "block"))
     cut = cut.withColumn("digest", F.shiftrightunsigned(F.xxhash64("block"), 64 - bits))
     names = _named(cut.select("digest", "block").distinct(), ["digest", "block"])
-    times = stage(names.groupBy("digest").agg(F.count("*").alias("blocks"), F.max("name").alias("name")))
+    times = stage(names.groupBy("digest").agg(F.count("*").alias("blocks"), F.max("name").alias("name")), True)
     clear = times.where("blocks = 1").select("digest", "name")
-    held = [cut.select("rid", "n", "at", "digest").join(small(clear, limit), "digest").select("rid", "n", "at", "name")]
+    held = [cut.select("rid", "n", "at", "digest").join(small(clear, limit, times), "digest").select("rid", "n", "at", "name")]
     unclear = times.where("blocks > 1").select("digest")
     if not unclear.isEmpty():
-        several = cut.join(small(unclear, limit), "digest", "left_semi")
+        several = cut.join(small(unclear, limit, times), "digest", "left_semi")
         held.append(several.join(names, ["digest", "block"]).select("rid", "n", "at", "name"))
     level, now, done = 0, stage(held[0] if len(held) == 1 else held[0].unionAll(held[1])), []
     unstage(names, times)
@@ -71,19 +71,21 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     limit, own = broadcast_bytes, F.col("row").getField(same_name(docs.columns, key))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
-    again = stage(rows.groupBy("h", "size").agg(F.count("*").alias("times")).where("times > 1").select("h", "size"))
-    side = small(again, limit)
-    alone = rows.join(side, ["h", "size"], "left_anti")
-    out = alone.select("row", own.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    if again.isEmpty():
-        return out
-    maybe = stage(rows.join(side, ["h", "size"], "left_semi").select(F.monotonically_increasing_id().alias("rid"), "row"))
-    texts = maybe.select("rid", F.coalesce(F.col("row").getField(same_name(docs.columns, text)), F.lit("")).alias("text"))
-    named = stage(_identities(texts, block, limit, bits))
-    identity = stage(named.join(maybe.select("rid", own.alias("k")), "rid"))
-    groups = stage(identity.groupBy("level", "name").agg(F.max(F.struct("k", "rid")).alias("best"), F.count("*").alias("group_size")).select("level", "name", F.col("best.k").alias("keep_id"), F.col("best.rid").alias("best"), "group_size"))
-    judged = stage(identity.join(small(groups, limit), ["level", "name"]).select("rid", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept")))
-    unstage(named, identity, groups)
+    with keeping(docs.sparkSession) as kept:
+        again = stage(rows.groupBy("h", "size").agg(F.count("*").alias("times")).where("times > 1").select("h", "size"), True)
+        side = small(again, limit)
+        alone = rows.join(side, ["h", "size"], "left_anti")
+        out = alone.select("row", own.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        if not measured(again)[0]:
+            kept.append(again)
+            return out
+        maybe = stage(rows.join(side, ["h", "size"], "left_semi").select(F.monotonically_increasing_id().alias("rid"), "row"))
+        texts = maybe.select("rid", F.coalesce(F.col("row").getField(same_name(docs.columns, text)), F.lit("")).alias("text"))
+        named = stage(_identities(texts, block, limit, bits))
+        identity = stage(named.join(maybe.select("rid", own.alias("k")), "rid"))
+        groups = stage(identity.groupBy("level", "name").agg(F.max(F.struct("k", "rid")).alias("best"), F.count("*").alias("group_size")).select("level", "name", F.col("best.k").alias("keep_id"), F.col("best.rid").alias("best"), "group_size"), True)
+        judged = stage(identity.join(small(groups, limit), ["level", "name"]).select("rid", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept")), True)
+        kept += [again, maybe, judged]
     return out.unionAll(maybe.join(small(judged, limit), "rid").select("row", "keep_id", "group_size", "kept"))
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_BYTES, grams, mix, slices, small, stage, table, unstage, words
+from stratalog.llm.common import BROADCAST_BYTES, grams, keeping, measured, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
@@ -222,7 +222,7 @@ def _tables(classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """key, i, j, cid of each table (i, j) that a node may share with another: its pairs of bands that others have too; and
     the staged table behind it."""
     bands = classes.select("cid", F.explode("keys").alias("band"))
-    shared = stage(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    shared = stage(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), True)
     which = F.shiftright("band", 48)
     of = lambda own: F.collect_list(F.when(own, F.col("band")))
     held = stage(bands.join(small(shared, limit), "band").groupBy("cid").agg(of(which < BANDS).alias("first"), of(which >= BANDS).alias("second")))
@@ -236,7 +236,7 @@ def _pivots(tables: DataFrame, firsts: DataFrame, unit: int, limit: int) -> Data
     """unit, cid, partners: each node with its pivot, and the pivot with each unit of those that meet it."""
     met = tables.join(small(firsts, limit), "key").where("cid <> first").groupBy("cid", "first").agg(F.count("*").alias("n"))
     own = stage(met.groupBy("cid").agg(F.max(F.struct("n", -F.col("first"))).alias("best")).select("cid", (-F.col("best")["col2"]).alias("pivot")))
-    parts = stage(own.groupBy("pivot").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts")))
+    parts = stage(own.groupBy("pivot").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts")), True)
     dealt = own.join(small(parts, limit), "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("unit"), "cid", F.array("pivot").alias("partners"))
     centres = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("pivot", "part").alias("unit"), F.col("pivot").alias("cid"), F.array().cast("array<long>").alias("partners"))
     return dealt.unionAll(centres)
@@ -244,10 +244,10 @@ def _pivots(tables: DataFrame, firsts: DataFrame, unit: int, limit: int) -> Data
 
 def _unsettled(tables: DataFrame, labels: DataFrame, classes: DataFrame, chunk: int, limit: int) -> DataFrame:
     """Rows for _candidates: of each bucket that holds several components, all nodes outside the largest one against all."""
-    labelled = tables.join(small(labels.withColumnRenamed("node", "cid"), limit), "cid", "left").withColumn("label", F.coalesce("root", "cid")).select("key", "i", "j", "cid", "label")
+    labelled = tables.join(small(labels.withColumnRenamed("node", "cid"), limit, labels), "cid", "left").withColumn("label", F.coalesce("root", "cid")).select("key", "i", "j", "cid", "label")
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.min("label").alias("one"), F.max("label").alias("other")).where("one < other")
-    split = stage(split.select("key", F.col("most.label").alias("most"), F.ceil(F.col("most.n") / chunk).cast("int").alias("many"), F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("few")))
+    split = stage(split.select("key", F.col("most.label").alias("most"), F.ceil(F.col("most.n") / chunk).cast("int").alias("many"), F.ceil((F.col("n") - F.col("most.n")) / chunk).cast("int").alias("few")), True)
     nodes = labelled.join(small(split, limit), "key")
     within = lambda n: F.pmod(F.xxhash64("cid", "key"), n).cast("int")
     outside = F.col("label") != F.col("most")
@@ -258,21 +258,10 @@ def _unsettled(tables: DataFrame, labels: DataFrame, classes: DataFrame, chunk:
     return met.repartition("block").sortWithinPartitions("block", "key", "ci", "cj")
 
 
-def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, around: int = AROUND, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """k (the key), h (xxhash64 of the text), n_shingles, component_id, kept of each row of docs. Links are pairs with
-    100 * intersection >= percent * union."""
-    docs, limit = docs.select(F.col(key), F.col(text)), broadcast_bytes
-    rows = stage(_signed(docs, key, text))
-    first = F.struct(F.col("k").isNull().alias("none"), "k", "h")
-    classes = stage(
-        rows.where("n_shingles > 0").groupBy("node").agg(F.min(first).alias("rep"), F.first("keys").alias("keys"), F.first("minhashes").alias("minhashes"))
-        .select(F.monotonically_increasing_id().alias("cid"), "node", "rep", "keys", "minhashes")
-    )
-    tables, held = _tables(classes, limit)
-    firsts = stage(tables.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"))
-    tables = stage(tables.join(small(firsts.select("key"), limit), "key", "left_semi"))
-    unstage(held)
-    wanted = stage(tables.select("cid").distinct().join(classes, "cid").select("cid", "rep.k", "rep.h"))
+def _linked(docs: DataFrame, classes: DataFrame, tables: DataFrame, firsts: DataFrame, key: str, text: str, percent: int, chunk: int, around: int, limit: int) -> DataFrame:
+    """node, first (its own smallest key), root of each class, after both rounds."""
+    tables = stage(tables.join(small(firsts.select("key"), limit, firsts), "key", "left_semi"))
+    wanted = stage(tables.select("cid").distinct().join(classes, "cid").select("cid", "rep.k", "rep.h"), True)
     found = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     sides = small(wanted, limit)
     found = found.join(sides, found["k"].eqNullSafe(sides["k"]) & (found["h"] == sides["h"])).select("cid", "text")
@@ -283,21 +272,42 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"))
 
     near = confirmed(_pivots(tables, firsts, around, limit))
-    labels = stage(components(near))
+    labels = stage(components(near), True)
     label = lambda node, name: labels.select(F.col("node").alias(node), F.col("root").alias(name))
     needed = stage(_unsettled(tables, labels, classes, chunk, limit).mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"))
     more = confirmed(needed)
     across = more.join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
     joined = stage(components(across))
-    unstage(firsts, tables, wanted, texts, near, needed, more)
+    unstage(tables, wanted, texts, near, needed, more)
 
     own: Column = F.coalesce("root", "cid")
     named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("node", "first", own.alias("label"))
     named = named.join(joined.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "first", F.coalesce("root", "label").alias("root"))
     named = stage(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    judged = stage(named.join(least, "root").select("node", "component_id"))
-    unstage(classes, labels, joined, named)
+    return named
+
+
+def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, around: int = AROUND, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """k (the key), h (xxhash64 of the text), n_shingles, component_id, kept of each row of docs. Links are pairs with
+    100 * intersection >= percent * union."""
+    docs, limit = docs.select(F.col(key), F.col(text)), broadcast_bytes
+    with keeping(docs.sparkSession) as kept:
+        rows = stage(_signed(docs, key, text))
+        first = F.struct(F.col("k").isNull().alias("none"), "k", "h")
+        classes = stage(
+            rows.where("n_shingles > 0").groupBy("node").agg(F.min(first).alias("rep"), F.first("keys").alias("keys"), F.first("minhashes").alias("minhashes"))
+            .select(F.monotonically_increasing_id().alias("cid"), "node", "rep", "keys", "minhashes")
+        )
+        tables, held = _tables(classes, limit)
+        firsts = stage(tables.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"), True)
+        if measured(firsts)[0]:
+            named = _linked(docs, classes, tables, firsts, key, text, percent, chunk, around, limit)
+        else:
+            named = stage(classes.select("node", F.col("rep.k").alias("first"), F.col("cid").alias("root")))
+        unstage(held, firsts)
+        least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        judged = stage(named.join(least, "root").select("node", "component_id"), True)
+        kept += [rows, judged]
     out = rows.join(small(judged, limit), "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.col("component_id"))
     return out.select("k", "h", "n_shingles", own.alias("component_id"), F.col("k").eqNullSafe(own).alias("kept"))

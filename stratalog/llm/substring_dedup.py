@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_BYTES, grams, measured, mix, slices, small, stage, table, unstage, words
+from stratalog.llm.common import BROADCAST_BYTES, grams, keeping, measured, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 5
@@ -174,7 +174,7 @@ def _located(keyed: DataFrame, again: DataFrame, kind: str, window: int, seed: i
     each = held.select("a", "k", "t", F.col("start").alias("from"), F.posexplode("ws").alias("at", "w")).select("a", "w", "k", "t", (F.col("from") + F.col("at")).alias("start"))
     owners = stage(each.groupBy("a", "w").agg(F.min("k").alias("owner"), F.max("k").alias("last")).where("owner < last").select("a", "w", "owner"))
     found = each.join(owners.hint("merge"), ["a", "w"]).groupBy("k", "t").agg(F.collect_set(F.struct("start", "owner")).alias("found"))
-    runs = stage(found.mapInArrow(lambda x: _runs(x, window), f"k {kind}, t long, runs array<struct<start:int,stop:int,owner:{kind}>>"))
+    runs = stage(found.mapInArrow(lambda x: _runs(x, window), f"k {kind}, t long, runs array<struct<start:int,stop:int,owner:{kind}>>"), True)
     unstage(held, owners)
     return runs
 
@@ -186,7 +186,7 @@ def _judged(keyed: DataFrame, runs: DataFrame, kind: str, window: int, shard: in
     words_ = F.octet_length("words") / 6
     shards = max(1, int((cut.where("reference").agg(F.sum(words_)).first()[0] or 0) // shard) + 1)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    load = stage(cut.where("not reference").groupBy("shard").agg(F.ceil(F.count("*") / stream).cast("int").alias("parts")))
+    load = stage(cut.where("not reference").groupBy("shard").agg(F.ceil(F.count("*") / stream).cast("int").alias("parts")), True)
     dealt = cut.join(small(load, limit), "shard")
     mine = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k", "t", "start"), F.col("parts")).cast("int")))
     dealt = dealt.withColumn("copy", F.explode(mine)).select(F.xxhash64("shard", "copy").alias("part"), "reference", "k", "t", "start", "words")
@@ -203,32 +203,33 @@ def remove_repeats(
     round's window hash, fewer in tests of collisions only."""
     kind, limit = docs.schema[key].dataType.simpleString(), broadcast_bytes
     docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("text"))
-    copies = stage(docs.where("k is not null and text is not null").groupBy("t", "t2").agg(F.min("k").alias("one"), F.max("k").alias("last")).where("one < last").select("t", "t2", "one"))
-    few = measured(copies)[1] <= limit
-    docs = docs.join(F.broadcast(copies) if few else copies, ["t", "t2"], "left").withColumn("copy", F.coalesce(F.col("k") > F.col("one"), F.lit(False)))
-    keyed = docs.where("k is not null and text is not null and not copy").select("k", "t", "text")
-    if not few:  # else each of the passes below would shuffle the texts again
-        keyed = stage(keyed)
-    of = lambda rows: rows.select("text").mapInArrow(lambda x: _anchors(x, window), "a long")
-    again = stage(of(keyed).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    judged, seed = [], 3
-    while True:
-        runs = _located(keyed, again, kind, window, seed, bits if not judged else 64, limit)
-        unstage(again)
-        judged.append(_judged(keyed, runs, kind, window, shard, stream, limit))
-        unstage(runs)
-        rejected = stage(judged[-1].where("not ok").select("k", "t").distinct())
-        if rejected.isEmpty():
+    with keeping(docs.sparkSession) as kept:
+        copies = stage(docs.where("k is not null and text is not null").groupBy("t", "t2").agg(F.min("k").alias("one"), F.max("k").alias("last")).where("one < last").select("t", "t2", "one"), True)
+        few = measured(copies)[1] <= limit
+        docs = docs.join(F.broadcast(copies) if few else copies, ["t", "t2"], "left").withColumn("copy", F.coalesce(F.col("k") > F.col("one"), F.lit(False)))
+        keyed = docs.where("k is not null and text is not null and not copy").select("k", "t", "text")
+        if not few:  # else each of the passes below would shuffle the texts again
+            keyed = stage(keyed)
+        of = lambda rows: rows.select("text").mapInArrow(lambda x: _anchors(x, window), "a long")
+        again = stage(of(keyed).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), True)
+        judged, seed = [], 3
+        while True:
+            runs = _located(keyed, again, kind, window, seed, bits if not judged else 64, limit)
+            unstage(again)
+            judged.append(_judged(keyed, runs, kind, window, shard, stream, limit))
+            unstage(runs)
+            rejected = stage(judged[-1].where("not ok").select("k", "t").distinct(), True)
+            if not measured(rejected)[0]:
+                unstage(rejected)
+                break
+            again = stage(of(keyed.join(small(rejected, limit), ["k", "t"], "left_semi")).distinct(), True)
             unstage(rejected)
-            break
-        again = stage(of(keyed.join(small(rejected, limit), ["k", "t"], "left_semi")).distinct())
-        unstage(rejected)
-        seed += 1
-    spans = judged[0]
-    for more in judged[1:]:
-        spans = spans.unionAll(more)
-    spans = stage(spans.where("ok").groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    unstage(*judged, *([] if few else [keyed]))
+            seed += 1
+        spans = judged[0]
+        for more in judged[1:]:
+            spans = spans.unionAll(more)
+        spans = stage(spans.where("ok").groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), True)
+        kept += [copies, spans]
     out = docs.join(small(spans, limit), ["k", "t"], "left").select("k", "copy", "text", "spans")
     return out.mapInArrow(lambda x: _cut(x, window), f"k {kind}, n_words long, n_removed long, kept binary")
 

@@ -166,7 +166,7 @@ def top_k(
     asking = F.count(F.when(F.col("asks"), 1))
     counts = stage(rows.groupBy("length").agg(plain.alias("plain"), large.alias("more"), asking.alias("queries")).where("queries > 0").select(
         "length", F.ceil(F.col("plain") / fits).cast("int").alias("plain"), F.ceil(F.col("more") / fits).cast("int").alias("more"), F.ceil(F.col("queries") / part).cast("int").alias("parts")
-    ))
+    ), True)
     dealt = rows.join(small(counts), "length")
     within = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

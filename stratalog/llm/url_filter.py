@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_BYTES, small, stage, table, unstage
+from stratalog.llm.common import BROADCAST_BYTES, keeping, small, stage, table
 
 #: (verdict, host and path); at most a few hundred, as they become one CASE expression.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -116,14 +116,13 @@ def reputations(hosts: DataFrame, bad_rate: float = BAD_RATE, suffixes: tuple =
     tops = stage(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
     total, bad = tops.agg(F.sum("n"), F.sum("x")).first()
     if not total:
-        unstage(named, domains, tops)
         return None
     mean = bad / total
     k_top, k_domain, k_host = (_strength(x, mean, total) for x in (tops, domains, named))
     shrunk = lambda prior, k: (F.col("x") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
     tops_ = tops.select("suffix", F.when(F.col("n") > 0, shrunk(F.lit(mean), k_top)).otherwise(F.lit(mean)).alias("s"))
     rates = domains.join(small(tops_), "suffix").select("domain", F.when(F.col("n") > 0, shrunk(F.col("s"), k_domain)).otherwise(F.col("s")).alias("m"))
-    rated = named.join(small(stage(rates)), "domain").select("host", (F.col("x") + k_host * F.col("m")).alias("a"), (F.col("n") - F.col("x") + k_host * (1 - F.col("m"))).alias("b"))
+    rated = named.join(small(stage(rates, True)), "domain").select("host", (F.col("x") + k_host * F.col("m")).alias("a"), (F.col("n") - F.col("x") + k_host * (1 - F.col("m"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +133,6 @@ def reputations(hosts: DataFrame, bad_rate: float = BAD_RATE, suffixes: tuple =
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(good)], names=["host", "good"])
 
     out = stage(rated.mapInArrow(run, "host string, good double"))
-    unstage(named, domains, tops)
     return out
 
 
@@ -143,15 +141,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, bad_rate:
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where("bad is not null").select(host_of(F.col("url")).alias("host"), F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("x"))
     every = known.unionAll(parts.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x")))
-    hosts = stage(every.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
-    judged = reputations(hosts, bad_rate, suffixes)
-    unstage(hosts)
-    method = F.lit("allow")
-    if judged is not None:
-        blocked = stage(judged.where(F.col("good") <= 1 - sure).select(F.col("host"), F.lit(True).alias("_blocked")))
-        unstage(judged)
-        parts = parts.join(small(blocked, broadcast_bytes), "host", "left")
-        method = F.when(F.col("_blocked"), "block").otherwise("allow")
+    with keeping(pages.sparkSession) as kept:
+        hosts = stage(every.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
+        judged = reputations(hosts, bad_rate, suffixes)
+        method = F.lit("allow")
+        if judged is not None:
+            blocked = stage(judged.where(F.col("good") <= 1 - sure).select(F.col("host"), F.lit(True).alias("_blocked")), True)
+            kept.append(blocked)
+            parts = parts.join(small(blocked, broadcast_bytes), "host", "left")
+            method = F.when(F.col("_blocked"), "block").otherwise("allow")
     rule = lambda pick: _rule(F.col("host"), F.col("path"), rules, pick)
     return parts.select("page_id", "host", "path", rule(1).alias("rule"), F.coalesce(rule(0), method).alias("verdict"))
 
