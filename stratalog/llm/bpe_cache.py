@@ -73,27 +73,21 @@ class PieceEncoder:
         return b"".join(map(self.piece, self.split(part)))
 
 
-class PartCache:
-    """encode gives the packed ids of one part."""
+class PartCache(dict):
+    """Packed ids of parts; encode gives those of one that isn't held. Looking up fills it, and a full one starts anew."""
 
     def __init__(self, encode: Callable[[bytes | str], bytes], entries: int = PARTS):
-        self.encode, self.entries, self.known = encode, entries, {}
+        super().__init__()
+        self.encode, self.entries = encode, entries
+
+    def __missing__(self, part: bytes | str) -> bytes:
+        out = self.encode(part)
+        if len(part) <= LONGEST:
+            if len(self) >= self.entries:
+                self.clear()
+            self[part] = out
+        return out
 
     def pack(self, parts: list) -> bytes:
         """Packed ids of the document that the parts make up."""
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            missing = set(parts).difference(known)
-        if len(known) + len(missing) > self.entries:
-            known.clear()
-            missing = set(parts)
-        encode = self.encode
-        for p in missing:
-            known[p] = encode(p)
-        out = b"".join(map(known.__getitem__, parts))
-        if len(known) > self.entries or max(map(len, missing)) > LONGEST:
-            for p in [p for p in missing if len(p) > LONGEST] if len(known) <= self.entries else list(known):
-                del known[p]
-        return out
+        return b"".join(map(self.__getitem__, parts))

@@ -47,6 +47,10 @@ class WordBpe:
         self.parts = PartCache(lambda w: part(w.decode()), PARTS)
 
     def pack(self, text: bytes) -> bytes:
+        """Upper case goes from whole texts at once, so that fewer spellings are remembered: normalising first would give
+        another result only where an ASCII letter and a combining mark (U+0300 to U+036F, first byte 0xCC or 0xCD) compose."""
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
         return self.parts.pack(text.split())
 
 
