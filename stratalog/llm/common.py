@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,20 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = No
     return F.broadcast(df) if measured(df if of is None else of)[1] <= limit else df
 
 
+class Memo(dict):
+    """What make gives for a key, remembered; looking up fills it, and a full one starts anew."""
+
+    def __init__(self, make: Callable, entries: int):
+        super().__init__()
+        self.make, self.entries = make, entries
+
+    def __missing__(self, key):
+        if len(self) >= self.entries:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows of about `size` bytes of text (one row at least), with the texts in UTF-8; null texts are empty."""
     texts = batch.column(text).cast(pa.large_binary()).to_pylist()

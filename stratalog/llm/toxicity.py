@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import slices, stage, table, unstage
+from stratalog.llm.common import Memo, slices, stage, table, unstage
 
 #: The training samples' bounds, in rows.
 TOXIC, UNLABELLED = 4_000, 16_000
@@ -73,22 +73,20 @@ def fewer(b: int, n: int) -> int:
 WORDS = 200_000
 
 
+def _packed(word: bytes) -> bytes:
+    return np.array([bucket(f) for f in word_features(word)], np.int32).tobytes()
+
+
 class Features:
     """Sorted buckets of texts."""
 
     def __init__(self):
-        self.known: dict[bytes, list[int]] = {}
+        self.known = Memo(_packed, WORDS)
 
     def __call__(self, text: bytes) -> np.ndarray:
-        said = set(text.lower().split())
-        new = said.difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = said
-        for w in new:
-            self.known[w] = [bucket(f) for f in word_features(w)]
-        found = np.array([b for w in said for b in self.known[w]], np.int64)
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, set(text.lower().split()))), np.int32)
         once, times = np.unique(found, return_counts=True)
+        once = once.astype(np.int64)
         return np.unique(np.concatenate([once, *(more(once[times >= n], n) for n in TIMES)])).astype(np.int32)
 
 
@@ -259,16 +257,10 @@ def score(docs: DataFrame, model: NonNegativePU | None, text: str = "text", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = sent.value
         watched = {*weights, *(fewer(b, n) for b in weights for n in TIMES)}
-        known: dict[bytes, tuple] = {}  # the buckets with a weight that a word has; starts anew when full
+        known = Memo(lambda w: tuple([b for b in map(bucket, word_features(w)) if b in watched]), 300_000)  # the buckets with a weight that a word has
 
         def one(t: bytes) -> float:
             found = set(t.lower().split())
-            new = found.difference(known)
-            if len(known) + len(new) > 300_000:
-                known.clear()
-                new = found
-            for w in new:
-                known[w] = tuple([b for b in map(bucket, word_features(w)) if b in watched])
             hit = Counter(b for x in map(known.__getitem__, found) if x for b in x)
             there = {*hit, *(more(b, n) for b, c in hit.items() for n in TIMES if c >= n)}
             z = base + sum(weights[b] for b in sorted(there) if b in weights)
