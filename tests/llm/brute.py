@@ -112,3 +112,43 @@ def best(vectors: list[tuple[int, list[int]]], queries: list[int], k: int) -> li
         scores = sorted((-sum(a * b for a, b in zip(by[q], v, strict=True)), i) for i, v in vectors if i != q)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return out
+
+
+def all_spans(text: str, patterns: dict, reach: int) -> list[tuple[int, int, str]]:
+    """Base spans, and weak ones that the pairs of all parts link. patterns: of weak kinds, (kind, pattern, group)."""
+    base = base_spans(text)
+    weak = [(*m.span(group), kind) for kind, pattern, group in patterns for m in pattern.finditer(text)]
+    ids_there = any(k in ("access", "weak_id") for _, _, k in base + weak)
+    weak = [w for w in weak if not any(s < w[1] and w[0] < e for s, e, _ in base)]
+    blanks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda at: sum(b <= at for b in blanks)
+    every = base + weak
+
+    def beside(w: tuple, kinds: tuple) -> bool:
+        return any(k in kinds and (s, e) != w[:2] and scope(s) == scope(w[0]) and s <= w[1] + reach and e >= w[0] - reach for s, e, k in every)
+
+    out = list(base)
+    for w in set(weak):
+        by_id, by_secret = beside(w, ("access", "weak_id")), beside(w, ("assign", "hex", "weak_secret"))
+        if ids_there and {"weak_id": by_secret, "weak_secret": by_id, "endpoint": by_id and by_secret}[w[2]]:
+            out.append(w)
+    order = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
+    return sorted(out, key=lambda x: (x[0], order.index(x[2]), x[1]))
+
+
+def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str:
+    """Each run of characters in spans, joined where spans overlap, as one mark."""
+    inside = [False] * len(text)
+    starts = set()
+    for s, e, _ in spans:
+        if not inside[s]:
+            starts.add(s)
+        inside[s:e] = [True] * (e - s)
+    out, i = [], 0
+    while i < len(text):
+        if i in starts:
+            out.append(mark)
+        if not inside[i]:
+            out.append(text[i])
+        i += 1
+    return "".join(out)

@@ -76,6 +76,23 @@ def test_near_is_the_same_as_looking_at_every_part(seed):
             assert secrets._near(secrets._by_scope(parts), s, e, k, 10) == want
 
 
+WEAK_PATTERNS = [("weak_id", secrets._WEAK_ID, 1), ("weak_secret", secrets._WEAK_KEY, 1), ("weak_secret", secrets._MIXED, 0), ("endpoint", secrets._ENDPOINT, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_spans_are_those_of_all_pairs(seed):
+    rng = random.Random(seed)
+    parts = ["user=alice", "login: bob", "key=abcd1234", "auth = zzzzzzzzz", "token=abcdefghijklm", "AKIA12345678901234", "deadbeefdeadbeef", "https://db.example.org/x", "aB3" * 9, "password=" + "q" * 400, "\n\n", "\n \t\n", "\n", "x " * 30, "and so on", "é🙂"]
+    linked = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        want = brute.all_spans(text, WEAK_PATTERNS, 240)
+        assert secrets.all_spans(text) == want, text
+        assert secrets.redacted(text) == brute.redacted(text, want), text
+        linked += sum(k not in secrets.STRONG for _, _, k in want)
+    assert linked > 100
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijkl b", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, _null long")
     out = secrets.redact(df)

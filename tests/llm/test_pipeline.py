@@ -6,6 +6,7 @@ from stratalog.llm import near_dedup, secrets, toxicity
 from stratalog.llm.common import release, scope, shared_dir, stage
 
 SF = "/root/testdata/sf0.001"
+WEAK_PATTERNS = [("weak_id", secrets._WEAK_ID, 1), ("weak_secret", secrets._WEAK_KEY, 1), ("weak_secret", secrets._MIXED, 0), ("endpoint", secrets._ENDPOINT, 0)]
 
 
 def test_stages_do_what_the_plain_versions_do(spark):
@@ -19,7 +20,7 @@ def test_stages_do_what_the_plain_versions_do(spark):
         copies[t or ""] = max(d, copies.get(t or "", d))
     kept = {d: t for d, t in kept.items() if copies[t or ""] == d}
     near = brute.near_components(list(kept.items()), 80)
-    kept = {d: secrets.redacted(t) if t is not None else None for d, t in kept.items() if near[d][1] == d}
+    kept = {d: brute.redacted(t, brute.all_spans(t, WEAK_PATTERNS, secrets.REACH)) if t is not None else None for d, t in kept.items() if near[d][1] == d}
     now = docs
     for name, step in corpus_pipeline.STAGES[:-1]:
         now = stage(step(spark, now, SF))
