@@ -211,7 +211,7 @@ class Store:
             self.flush()
             seq = self._seq + 1
             rows = merge.batch_collapse(ops, seq, order) if order else ops.select("key", F.lit(seq).cast("long").alias("seq"), "value")
-            run = self._bulk(rows, stream, distinct=not order)
+            run = self._bulk(rows, stream, [] if order else ["key"])
             self._counts["batches"] += run is not None
             return run and seq
 
@@ -229,6 +229,15 @@ class Store:
             self._counts["deletes"] += deleted
             return run.max_seq
 
+    def import_versions(self, rows: DataFrame) -> int | None:
+        """A whole version log (key, seq, value) with its own numbers, such as sources.legacy reads, into a store that has none;
+        its last number. Raises if a key has two versions of one number."""
+        with self._lock:
+            if self._manifest.runs or self._seq:
+                raise ValueError("only a store without versions takes a whole log")
+            run = self._bulk(rows, None, ["key", "seq"])
+            return run and run.max_seq
+
     def write_unversioned(self, rows: DataFrame) -> None:
         """Rows (key, value) without numbers, as versions of number 0 that any other version of a key hides. Raises if keys
         repeat, or if the store has such rows already, as nothing would order them."""
@@ -236,18 +245,18 @@ class Store:
             if any(r.min_seq == 0 for r in self._manifest.runs):
                 raise ValueError("the store has unversioned rows already")
             self.flush()
-            self._bulk(merge.unversioned(rows), None, distinct=True)
+            self._bulk(merge.unversioned(rows), None, ["key"])
 
-    def _bulk(self, rows: DataFrame, stream: tuple[str, int] | None, distinct: bool = False) -> Run | None:
+    def _bulk(self, rows: DataFrame, stream: tuple[str, int] | None, distinct: list[str] = []) -> Run | None:  # noqa: B006
         run = self._write_run(rows, 0, self._manifest.next_run)
         streams = self._manifest.streams | ({stream[0]: stream[1]} if stream else {})
         if run is None:
             if stream:
                 self._publish(streams=streams)
             return None
-        if distinct and not self._read([run]).groupBy("key").count().where("count > 1").isEmpty():
+        if distinct and not self._read([run]).groupBy(*distinct).count().where("count > 1").isEmpty():
             self.files.delete(f"runs/{run.name}")
-            raise ValueError("keys repeat; name a column that orders them")
+            raise ValueError(f"{' and '.join(distinct)} repeat, and nothing orders the rows")
         seq = max(self._seq, run.max_seq)
         self._publish(runs=(*self._manifest.runs, run), next_run=run.number + 1, last_seq=seq, flushed_seq=seq, streams=streams)
         self._seq = seq

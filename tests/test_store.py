@@ -250,6 +250,17 @@ def test_unversioned_rows_are_older_than_all(spark, tmp_path):
     assert [(bytes(r.key), r.value and bytes(r.value)) for r in reads.read(store.history()).collect()] == [(b"a", b"1"), (b"b", b"new"), (b"b", b"2"), (b"c", None)]
 
 
+def test_a_whole_log_keeps_its_numbers(spark, tmp_path):
+    log = spark.createDataFrame([(b"a", 3, b"1"), (b"a", 7, None), (b"b", 0, b"2")], "key binary, seq long, value binary")
+    store = Store(spark, str(tmp_path), SMALL)
+    with pytest.raises(ValueError):
+        store.import_versions(log.unionAll(log.where("seq = 7")))
+    assert store.import_versions(log) == 7 and pairs(store.scan()) == {b"b": b"2"} and store.get(b"a", store.snapshot_at(5)) == b"1"
+    assert store.put(b"a", b"3") == 8
+    with pytest.raises(ValueError):
+        store.import_versions(log)
+
+
 def test_filters_are_probed_without_reading_rows(spark, tmp_path):
     store = Store(spark, str(tmp_path), SMALL)
     store.load(spark.range(2000).selectExpr("id", "cast(format_string('key%06d', 2 * id) as binary) as key", "cast('v' as binary) as value"), ["id"])
