@@ -323,3 +323,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents, linked at 85 per cent."""
     return mark(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+#: By all pairs that share a shingle, and reachability.
+ORACLE = r"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')]
+  else list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+ways as (select x, y from links union all select y, x from links),
+reach as (select distinct x as one, x as other from ways union select one, y from reach join ways on other = x),
+least as (select one, min(other) as component from reach group by one)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component, d.doc_id) as component_id, coalesce(component, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join least on one = d.doc_id"""

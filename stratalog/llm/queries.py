@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import exact_dedup, topk, url_filter, warc
+from stratalog.llm import exact_dedup, near_dedup, substring_dedup, topk, url_filter, warc
 from stratalog.llm.byte_bpe import op1_byte_bpe
 from stratalog.llm.exact_dedup import op3_exact_dedup
 from stratalog.llm.near_dedup import op6_near_dedup
@@ -19,6 +19,8 @@ QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_exact_dedup, o
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_topk": topk.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }

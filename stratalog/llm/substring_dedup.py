@@ -237,3 +237,13 @@ def remove_repeats(
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words of every row of documents, by windows of 13 words."""
     return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: By all windows as texts.
+ORACLE = r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+windows as (select doc_id, i, array_to_string(l[i:i + 12], ' ') as said from (select doc_id, l, unnest(range(1, len(l) - 11)) as i from w)),
+first as (select said, min(doc_id) as least from windows group by said),
+gone as (select distinct doc_id, i + unnest(range(0, 13)) as i from (select doc_id, i from windows join first on windows.said = first.said where least < doc_id)),
+each as (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as i from w),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.i) as said, count(*) as n from each e left join gone g on g.doc_id = e.doc_id and g.i = e.i where g.i is null group by e.doc_id)
+select w.doc_id, len(l) as n_words, len(l) - coalesce(n, 0) as n_removed, sha256(coalesce(said, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
