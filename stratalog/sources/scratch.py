@@ -73,15 +73,15 @@ def measured(df: DataFrame) -> tuple[int, int]:
     return found or tuple(df.agg(*_measure(df)).first())
 
 
-def stage(df: DataFrame, measure: bool = False) -> DataFrame:
+def stage(df: DataFrame, measure: bool = False, also: Column | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and reread: lineage ends there, every executor can read it, and a
     lost executor costs no recomputation. A writing task buffers ROW_GROUP bytes at most. Operators delete what none of
     their further steps reads (unstage); what a result still reads goes with release() or when Python ends. measure: rows and
-    bytes are counted on the way."""
+    bytes are counted on the way, and the aggregate `also` is worked out (found in _also)."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stratalog-stage-{uuid.uuid4().hex}"
     seen = Observation()
-    written = df.observe(seen, *_measure(df)) if measure else df
+    written = df.observe(seen, *_measure(df), (F.lit(0) if also is None else also).alias("also")) if measure else df
     with writing(spark):
         written.write.option("parquet.block.size", str(ROW_GROUP)).parquet(at)
     if not _staged:
@@ -92,7 +92,8 @@ def stage(df: DataFrame, measure: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
     if measure:
-        out._measured = (seen.get["rows"], seen.get["bytes"])
+        found = seen.get
+        out._measured, out._also = (found["rows"], found["bytes"]), found["also"]
     return out
 
 
