@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import BROADCAST_BYTES, keeping, measured, same_name, small, stage, table, unstage
 
-BLOCK = 4096
+BLOCK = 16_384
 
 
 def _named(distinct: DataFrame, by: list[str]) -> DataFrame:

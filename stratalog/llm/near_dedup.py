@@ -269,22 +269,20 @@ def _linked(docs: DataFrame, classes: DataFrame, tables: DataFrame, firsts: Data
 
     def confirmed(needed: DataFrame) -> DataFrame:
         units = needed.join(texts, "cid").repartition("unit").sortWithinPartitions("unit", "cid")
-        return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"))
+        return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"), True)
 
-    near = confirmed(_pivots(tables, firsts, around, limit))
-    labels = stage(components(near), True)
+    labels = stage(components(confirmed(_pivots(tables, firsts, around, limit))), True)
     label = lambda node, name: labels.select(F.col("node").alias(node), F.col("root").alias(name))
-    needed = stage(_unsettled(tables, labels, classes, chunk, limit).mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"))
-    more = confirmed(needed)
-    across = more.join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
-    joined = stage(components(across))
-    unstage(tables, wanted, texts, near, needed, more)
-
     own: Column = F.coalesce("root", "cid")
-    named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("node", "first", own.alias("label"))
-    named = named.join(joined.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "first", F.coalesce("root", "label").alias("root"))
-    named = stage(named)
-    return named
+    named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(small(label("cid", "root"), limit, labels), "cid", "left").select("node", "first", own.alias("root"))
+    unsettled = _unsettled(tables, labels, classes, chunk, limit)
+    needed = stage(unsettled.mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"), True)
+    more = confirmed(needed) if measured(needed)[0] else needed
+    if measured(more)[0]:
+        across = more.join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+        joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        named = named.join(joined, "root", "left").select("node", "first", F.coalesce("last", "root").alias("root"))
+    return stage(named)
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, chunk: int = CHUNK, around: int = AROUND, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

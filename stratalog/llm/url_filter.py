@@ -67,14 +67,12 @@ def _named(hosts: DataFrame, suffixes: tuple) -> DataFrame:
     return named.withColumn("domain", F.when(F.col("domain") == "", F.col("name")).otherwise(F.col("domain"))).drop("name")
 
 
-def _strength(groups: DataFrame, mean: float, total: int) -> float:
-    """Prior strength of a level's groups: (1 - rho) / rho, rho the correlation within groups, in (0, 1)."""
-    n, off = F.col("n").cast("double"), F.col("x") / F.col("n") - mean
-    g, squares, spread = groups.where("n > 0").agg(F.count("*"), F.sum(n * n), F.sum(n * off * off)).first()
-    rho, within, room = 0.001, mean * (1 - mean), 0.0
-    if g:
-        room = total - squares / total - (g - 1)
+def _strength(g: int, n: int, x: int, squares: float, ratios: float, mean: float) -> float:
+    """Prior strength of a level of g groups: (1 - rho) / rho, rho the correlation within groups, in (0, 1). squares: sum of
+    n squared; ratios: sum of x squared over n, for the spread of the groups' rates around the mean."""
+    rho, within, room = 0.001, mean * (1 - mean), n - squares / n - (g - 1)
     if within > 0 and room > 0:
+        spread = ratios - 2 * mean * x + mean * mean * n
         rho = min(0.999, max(0.001, (spread - within * (g - 1)) / (within * room)))
     return (1 - rho) / rho
 
@@ -108,21 +106,22 @@ def beta_below(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
     return out
 
 
-def reputations(hosts: DataFrame, bad_rate: float = BAD_RATE, suffixes: tuple = SUFFIXES) -> DataFrame | None:
-    """host, good (the posterior probability that its bad rate is at most bad_rate) of hosts (host, n, x): n outcomes, x of
-    them bad. None without outcomes."""
-    named = stage(_named(hosts, suffixes))
-    domains = stage(named.groupBy("domain").agg(F.max("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("x").alias("x")))
-    tops = stage(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
-    total, bad = tops.agg(F.sum("n"), F.sum("x")).first()
-    if not total:
+def reputations(hosts: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame | None:
+    """host, good (the posterior probability that its bad rate is at most bad_rate) of hosts (host, domain, suffix, n, x): n
+    outcomes, x of them bad. None without outcomes. The driver gets five sums for each of the three levels."""
+    sums = (F.sum("n").alias("n"), F.sum("x").alias("x"))
+    domains = hosts.groupBy("domain").agg(F.max("suffix").alias("suffix"), *sums)
+    tops = domains.groupBy("suffix").agg(*sums)
+    rows = [frame.where("n > 0").select(F.lit(i).alias("level"), "n", "x") for i, frame in enumerate((tops, domains, hosts))]
+    n, x = F.col("n").cast("double"), F.col("x").cast("double")
+    levels = rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("level").agg(F.count("*"), F.sum("n"), F.sum("x"), F.sum(n * n), F.sum(x * x / n)).collect()
+    if not levels:
         return None
-    mean = bad / total
-    k_top, k_domain, k_host = (_strength(x, mean, total) for x in (tops, domains, named))
-    shrunk = lambda prior, k: (F.col("x") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
-    tops_ = tops.select("suffix", F.when(F.col("n") > 0, shrunk(F.lit(mean), k_top)).otherwise(F.lit(mean)).alias("s"))
-    rates = domains.join(small(tops_), "suffix").select("domain", F.when(F.col("n") > 0, shrunk(F.col("s"), k_domain)).otherwise(F.col("s")).alias("m"))
-    rated = named.join(small(stage(rates, True)), "domain").select("host", (F.col("x") + k_host * F.col("m")).alias("a"), (F.col("n") - F.col("x") + k_host * (1 - F.col("m"))).alias("b"))
+    mean = levels[0][3] / levels[0][2]
+    k = {level: _strength(*found, mean) for level, *found in levels}
+    shrunk = lambda prior, level: F.when(F.col("n") > 0, (F.col("x") + k[level] * prior) / (F.col("n") + k[level])).otherwise(prior)
+    rates = domains.join(tops.select("suffix", shrunk(F.lit(mean), 0).alias("s")), "suffix").select("domain", shrunk(F.col("s"), 1).alias("m"))
+    rated = hosts.join(rates, "domain").select("host", (F.col("x") + k[2] * F.col("m")).alias("a"), (F.col("n") - F.col("x") + k[2] * (1 - F.col("m"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +131,7 @@ def reputations(hosts: DataFrame, bad_rate: float = BAD_RATE, suffixes: tuple =
             good[both] = beta_below(a[both], b[both], bad_rate)
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(good)], names=["host", "good"])
 
-    out = stage(rated.mapInArrow(run, "host string, good double"))
-    return out
+    return rated.mapInArrow(run, "host string, good double")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, bad_rate: float = BAD_RATE, sure: float = SURE, suffixes: tuple = SUFFIXES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -142,8 +140,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, bad_rate:
     known = outcomes.where("bad is not null").select(host_of(F.col("url")).alias("host"), F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("x"))
     every = known.unionAll(parts.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x")))
     with keeping(pages.sparkSession) as kept:
-        hosts = stage(every.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
-        judged = reputations(hosts, bad_rate, suffixes)
+        hosts = stage(_named(every.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), suffixes))
+        judged = reputations(hosts, bad_rate)
         method = F.lit("allow")
         if judged is not None:
             blocked = stage(judged.where(F.col("good") <= 1 - sure).select(F.col("host"), F.lit(True).alias("_blocked")), True)
