@@ -193,6 +193,8 @@ class Store:
 
     def close(self) -> None:
         self.sync()
+        with self._lock:
+            self._cache.clear()
 
     def __enter__(self) -> Store:
         return self
