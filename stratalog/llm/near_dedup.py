@@ -313,9 +313,11 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """docs without the rows whose component has a smaller key."""
-    gone = mark(docs, key, text, percent).where("not kept").select("k", "h").distinct()
+    with keeping(docs.sparkSession) as kept:
+        gone = stage(mark(docs, key, text, percent).where("not kept").select("k", "h").distinct(), True)
+        kept.append(gone)
     on = docs[key].eqNullSafe(gone["k"]) & (F.xxhash64(docs[text]) == gone["h"])
-    return docs.join(gone, on, "left_anti")
+    return docs.join(small(gone), on, "left_anti")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
