@@ -2,7 +2,8 @@
 
 Toxicity drops the documents that the classifier rejects, exact dedup keeps the largest doc_id of equal texts, near-dedup
 the smallest doc_id of each component of near copies, the secret scan replaces secrets by a mark, packing makes the
-training sequences. The first four return the columns of documents."""
+training sequences. The first four return the columns of documents. Stages that end in a Python step return its staged output:
+their caller's write would send Python batches of 10,000 whole texts, which both sides hold in memory."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import exact_dedup, near_dedup, pack_docs, secrets, toxicity
-from stratalog.llm.common import fresh, release, scope, shared_dir, table
+from stratalog.llm.common import fresh, release, scope, shared_dir, stage, table
 
 #: Near copies share four fifths of their five-word shingles at least.
 PERCENT = 80
@@ -22,7 +23,7 @@ PERCENT = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = fresh(docs, "_toxicity")
-    return toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.CUT).select(*docs.columns)
+    return stage(toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.CUT).select(*docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out
+    return stage(out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_docs.pack(docs, public_tokenizers.path(pack_docs.VOCABULARY))
+    return stage(pack_docs.pack(docs, public_tokenizers.path(pack_docs.VOCABULARY)))
 
 
 STAGES = [
@@ -58,9 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's intermediate tables go when its output is written; the outputs stay."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/stratalog-pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, step) in enumerate(STAGES):
         with scope() as made:
-            out = stage(spark, docs, sf_dir)
+            out = step(spark, docs, sf_dir)
             out.write.parquet(f"{base}/{i}")
         release(spark, made)
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")

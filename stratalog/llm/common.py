@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.sources.scratch import keeping, measured, release, scope, shared_dir, stage, unstage
+from stratalog.sources.scratch import keeping, measured, release, scope, shared_dir, stage, unstage, writing
 
-__all__ = ["keeping", "measured", "release", "scope", "shared_dir", "stage", "unstage"]
+__all__ = ["keeping", "measured", "release", "scope", "shared_dir", "stage", "unstage", "writing"]
 
 #: Bytes a broadcast side may take, measured; beyond it the same join runs as a shuffle join.
 BROADCAST_BYTES = 64 << 20
@@ -54,6 +56,21 @@ class Memo(dict):
         return out
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, which gives memory back to the system when it ends. Python workers live on between tasks, and what
+    they have freed but still hold counts as the executor's memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows of about `size` bytes of text (one row at least), with the texts in UTF-8; null texts are empty."""
     texts = batch.column(text).cast(pa.large_binary()).to_pylist()

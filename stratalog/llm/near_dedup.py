@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BROADCAST_BYTES, grams, keeping, measured, mix, slices, small, stage, table, unstage, words
+from stratalog.llm.common import BROADCAST_BYTES, freeing, grams, keeping, measured, mix, slices, small, stage, table, unstage, words
 from stratalog.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
@@ -91,7 +91,7 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 )
 
     made = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return made.mapInArrow(run, f"k {kind}, h long, n_shingles long, node binary, keys array<long>, minhashes binary")
+    return made.mapInArrow(freeing(run), f"k {kind}, h long, n_shingles long, node binary, keys array<long>, minhashes binary")
 
 
 @functools.cache
@@ -269,14 +269,14 @@ def _linked(docs: DataFrame, classes: DataFrame, tables: DataFrame, firsts: Data
 
     def confirmed(needed: DataFrame) -> DataFrame:
         units = needed.join(texts, "cid").repartition("unit").sortWithinPartitions("unit", "cid")
-        return stage(units.mapInArrow(lambda x: _confirmed(x, percent), "u long, v long"), True)
+        return stage(units.mapInArrow(freeing(lambda x: _confirmed(x, percent)), "u long, v long"), True)
 
     labels = stage(components(confirmed(_pivots(tables, firsts, around, limit))), True)
     label = lambda node, name: labels.select(F.col("node").alias(node), F.col("root").alias(name))
     own: Column = F.coalesce("root", "cid")
     named = classes.select("cid", "node", F.col("rep.k").alias("first")).join(small(label("cid", "root"), limit, labels), "cid", "left").select("node", "first", own.alias("root"))
     unsettled = _unsettled(tables, labels, classes, chunk, limit)
-    needed = stage(unsettled.mapInArrow(lambda x: _candidates(x, percent), "unit long, cid long, partners array<long>"), True)
+    needed = stage(unsettled.mapInArrow(freeing(lambda x: _candidates(x, percent)), "unit long, cid long, partners array<long>"), True)
     more = confirmed(needed) if measured(needed)[0] else needed
     if measured(more)[0]:
         across = more.join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))

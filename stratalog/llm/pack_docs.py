@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratalog.llm.bpe_cache import PartCache, PieceEncoder
-from stratalog.llm.common import same_name, slices, table
+from stratalog.llm.common import freeing, same_name, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: The tokenizer's own pattern, on normalised text without white space.
@@ -207,7 +207,7 @@ def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id
             yield rows(packer.end())
 
     read = df.select(F.col(key).alias("k"), F.col(text).alias("text"), *([F.col(answer).alias("answer")] if answer else []))
-    return read.mapInArrow(run, f"`{name}` {kind}, " + ", ".join(f"`{n}` long" for n in numbers) + (", token_ids array<int>" if ids else ""))
+    return read.mapInArrow(freeing(run), f"`{name}` {kind}, " + ", ".join(f"`{n}` long" for n in numbers) + (", token_ids array<int>" if ids else ""))
 
 
 def turns(conversations: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import fresh, same_name, slices, table
+from stratalog.llm.common import freeing, fresh, same_name, slices, table
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
@@ -111,7 +111,7 @@ def _mapped(df: DataFrame, text: str, keep: list[str], out: T.StructField, made:
             for batch, texts in slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([made(t.decode()) for t in texts], kind)], names=[*keep, out.name])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), out]))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(freeing(run), T.StructType([*(df.schema[c] for c in keep), out]))
 
 
 def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, reach: int = REACH) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import Memo, slices, stage, table, unstage
+from stratalog.llm.common import Memo, freeing, slices, stage, table, unstage, writing
 
 #: The training samples' bounds, in rows.
 TOXIC, UNLABELLED = 4_000, 16_000
@@ -179,7 +179,7 @@ def _counted(rows: DataFrame, column: str, made: bool) -> DataFrame:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(n[at], total), pa.int64())], names=["bucket", "n"])
 
-    return rows.select(column).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return rows.select(column).mapInArrow(freeing(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _sample(docs: DataFrame, key: str, text: str, rows: int) -> DataFrame:
@@ -196,7 +196,7 @@ def _sample(docs: DataFrame, key: str, text: str, rows: int) -> DataFrame:
 
     first = F.broadcast(docs.select(key).distinct().orderBy(F.xxhash64(key), key).limit(rows))
     read = docs.join(first, key, "left_semi").select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    made = read.mapInArrow(run, f"k {kind}, h long, buckets binary, marks array<long>")
+    made = read.mapInArrow(freeing(run), f"k {kind}, h long, buckets binary, marks array<long>")
     return stage(made.orderBy(F.xxhash64("k"), "k", "h").limit(rows))
 
 
@@ -218,8 +218,9 @@ def _places(sample: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(rows, pa.binary())], names=["k", "h", "places"])
 
     kind = sample.schema["k"].dataType.simpleString()
-    found = sample.select("k", "h", "buckets").mapInArrow(run, f"k {kind}, h long, places binary").orderBy(F.xxhash64("k"), "k", "h")
-    return [np.frombuffer(r[0], np.int32).astype(np.int64) for r in found.select("places").collect()]
+    found = sample.select("k", "h", "buckets").mapInArrow(freeing(run), f"k {kind}, h long, places binary").orderBy(F.xxhash64("k"), "k", "h")
+    with writing(sample.sparkSession):
+        return [np.frombuffer(r[0], np.int32).astype(np.int64) for r in found.select("places").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TOXIC, unlabelled: int = UNLABELLED) -> NonNegativePU | None:
@@ -238,7 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     u = _sample(docs, key, text, unlabelled)
     apart = stage(_apart(p).select("buckets"))
     seen = _counted(apart, "buckets", True).where(f"bucket < 0 or n >= {LEAST}").withColumnRenamed("n", "toxic")
-    both = seen.join(_counted(docs, text, False), "bucket", "left").select("bucket", "toxic", F.coalesce("n", F.lit(0)).alias("n")).orderBy("bucket").toArrow()
+    both = seen.join(_counted(docs, text, False), "bucket", "left").select("bucket", "toxic", F.coalesce("n", F.lit(0)).alias("n")).orderBy("bucket")
+    with writing(docs.sparkSession):  # for its small batches
+        both = both.toArrow()
     buckets, a, b = (both.column(c).to_numpy().astype(np.int64) for c in ("bucket", "toxic", "n"))
     prior = min(0.9, max(1e-3, positive / n))
     chosen = buckets[1:][choose(prior, a[1:], int(a[0]), b[1:], int(b[0]))]
@@ -272,7 +275,7 @@ def score(docs: DataFrame, model: NonNegativePU | None, text: str = "text", out:
 
     fields = [docs.schema[c] for c in keep]
     schema = type(docs.schema)([*fields]).add(out, "double")
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(freeing(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import re
+from pathlib import Path
+
 import brute
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
 from stratalog.llm import near_dedup, secrets, toxicity
-from stratalog.llm.common import release, scope, shared_dir, stage
+from stratalog.llm.common import freeing, release, scope, shared_dir, stage
 
 SF = "/root/testdata/sf0.001"
 WEAK_PATTERNS = [("weak_id", secrets._WEAK_ID, 1), ("weak_secret", secrets._WEAK_KEY, 1), ("weak_secret", secrets._MIXED, 0), ("endpoint", secrets._ENDPOINT, 0)]
@@ -63,3 +67,45 @@ def test_staged_tables_go_on_release(spark):
 
 def test_near_stage_uses_the_stage_threshold():
     assert corpus_pipeline.PERCENT == 80 and near_dedup.SHINGLE == 5
+
+
+def test_stages_leave_no_python_step_to_their_callers_write(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        with scope() as made:
+            plan = step(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        release(spark, made)
+        assert "MapInArrow" not in plan, name
+
+
+def test_training_sends_small_batches(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    seen, kind = [], type(docs)
+    for name in ("toArrow", "collect"):
+        def noted(self, f=getattr(kind, name)):
+            if "MapInArrow" in self._jdf.queryExecution().executedPlan().toString():
+                seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")))
+            return f(self)
+
+        monkeypatch.setattr(kind, name, noted)
+    toxicity.train(docs, labels)
+    assert len(seen) == 3 and max(seen) <= 4 << 20
+
+
+def test_maps_give_memory_back():
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [(bytearray(b"x" * 50_000), bytearray(b"x" * 1_000)) for _ in range(4_000)]
+            pins.append([pin for _, pin in blocks])  # among them, so the heap doesn't shrink by itself
+            del blocks
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    before = held()
+    assert list(run(iter([batch]))) == [batch] and held() - before > 150
+    assert list(freeing(run)(iter([batch]))) == [batch] and held() - before < 50
